@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .html import extract_pages
+from .mixing import mix
+from .neighbours import nearest
+from .pii import KINDS, find_pii
+from .quality import classify
 from .simhash import simhash_dedup
+from .warc import archive_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +54,62 @@ FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Target weights of the mix; nodes without one weigh 1.
+MIX = {"domain": {"domain0": 4.0, "domain1": 3.0, "domain2": 2.0, "domain3": 1.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}, "source": {"src0": 0.5}}
+
+
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), MIX)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+
+    def joined(kinds: tuple[str, ...]):
+        """Spans come by kind as listed, then start, from the operator."""
+        listed = F.filter("spans", lambda s: s["kind"].isin(*kinds))
+        return F.array_join(F.transform(listed, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = KINDS[:4]
+    return found.select(
+        "doc_id",
+        *map(number, base),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(KINDS).alias("spans"),
+    )
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_neighbours": op2_neighbours,
+    "op3_quality": op3_quality,
+    "op5_mix": op5_mix,
     "op6_simhash": op6_simhash,
+    "op8_pii": op8_pii,
+    "op9_warc": op9_warc,
+    "op10_html": op10_html,
 }
 SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL}
