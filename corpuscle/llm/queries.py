@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
@@ -13,7 +13,9 @@ from .mixing import mix
 from .neighbours import nearest
 from .pii import KINDS, find_pii
 from .quality import classify
+from .repeats import remove_repeats
 from .simhash import simhash_dedup
+from .tokens import count_tokens
 from .warc import archive_pages
 
 
@@ -62,6 +64,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 #: Target weights of the mix; nodes without one weigh 1.
 MIX = {"domain": {"domain0": 4.0, "domain1": 3.0, "domain2": 2.0, "domain3": 1.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}, "source": {"src0": 0.5}}
 
@@ -74,6 +81,26 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+#: The vocabulary that op7 counts with.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def example_edits(key: str = "doc_id", text: str = "text", edits: int = 3) -> Column:
+    """Edits by rule: each of a document's gives way up to 19 code points at a hashed place to up to 39 from another."""
+    size = F.char_length(F.coalesce(F.col(text), F.lit("")))
+
+    def edit(k: Column) -> Column:
+        spot = lambda salt, n: F.pmod(F.xxhash64(F.col(key), k, F.lit(salt)), n)
+        put = F.substr(F.coalesce(F.col(text), F.lit("")), (spot(1, size + 1) + 1).cast("int"), spot(2, F.lit(40)).cast("int"))
+        return F.struct(spot(3, size + 1).alias("start"), spot(4, F.lit(20)).alias("length"), put.alias("text"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(edits - 1)), edit)
+
+
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), VOCABULARY, example_edits())
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
 
@@ -106,8 +133,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_neighbours": op2_neighbours,
     "op3_quality": op3_quality,
+    "op4_repeats": op4_repeats,
     "op5_mix": op5_mix,
     "op6_simhash": op6_simhash,
+    "op7_tokens": op7_tokens,
     "op8_pii": op8_pii,
     "op9_warc": op9_warc,
     "op10_html": op10_html,
