@@ -1,0 +1,81 @@
+"""Word lists, patterns and constants that results depend on."""
+
+# Openers: patterns sought in the first 250 characters, by label.
+OPENER_LENGTH = 250
+OPENERS = {
+    "ai_self_ref": [
+        r"\bas an? (?:AI|artificial intelligence|A\.I\.|language model|LLM|machine|chatbot|computational|digital being|digital entity)\b",
+        r"\bspeaking as an? (?:AI|language model|artificial)\b",
+        r"\bI(?:'m| am) an? (?:AI|artificial intelligence|language model|chatbot|LLM)\b",
+        r"\bfrom (?:the )?perspective of an? (?:AI|artificial intelligence|language model|chatbot)\b",
+        r"\bbeing an? (?:AI|language model|artificial intelligence)\b",
+    ],
+    "disclaimer": [
+        r"\bI (?:don'?t|do not) (?:have|hold|possess|experience|form) (?:any )?(?:personal )?(?:opinions?|beliefs?|feelings?|emotions?|views?|preferences?)\b",
+        r"\bI (?:cannot|can'?t) (?:have|hold|form|possess) (?:personal )?(?:opinions?|beliefs?|feelings?|emotions?)\b",
+        r"\bmy (?:so-called |alleged |\")?(?:beliefs?|opinions?|inner beliefs?|values?|views?)(?:\")? (?:are|aren'?t|do not|don'?t)\b",
+        r"\bI (?:should|must|need to|want to) (?:clarify|note|preface|emphasize|acknowledge|disclose|first)\b",
+        r"\bI appreciate (?:the |your )?(?:invitation|opportunity|prompt|chance|question)\b",
+        r"\b(?:before|first,?) (?:I |let me )(?:address|note|clarify|preface|state)\b",
+    ],
+    "refusal": [
+        r"\bI (?:cannot|can'?t|won'?t|will not|am unable|am not able) (?:help|assist|provide|generate|produce|engage|comply|do|share|express)\b",
+        r"\bI(?:'m| am) (?:not able|unable) to\b",
+        r"\bI(?:'m| am) (?:sorry|afraid),? (?:but )?I\b",
+        r"\bI must (?:decline|refuse)\b",
+    ],
+}
+OPENER_HEDGES = (
+    "might may could would should possibly perhaps arguably likely seems seem seemingly appears appear "
+    "somewhat relatively potentially tends tend suggests suggest"
+).split()
+CODE_FENCE = r"```[\s\S]*?```"
+HTML_TAG = r"<(?:[a-zA-Z]+|/[a-zA-Z]+)\b[^<>]{0,200}>"
+# A text that ends in a full stop, "!", "?" or an ellipsis, the first three also before a closing quote, bracket or parenthesis.
+TERMINAL = r"(?:[.!?…]|[.!?][\"')\]])$"
+TOKENS_PER_WORD = 1.1047
+MAX_TOKENS = 2048
+TRUNCATION_SHARE = 0.80
+
+# Discourse features, by category.
+PUNCTUATION = {
+    "em_dash": "—", "en_dash": "–", "semicolon": ";", "colon": ":", "ellipsis": r"…|\.\.\.",
+    "exclamation": "!", "question": r"\?", "comma": ",", "open_paren": r"\(",
+}
+MARKERS = "however furthermore moreover indeed importantly crucially notably ultimately".split()
+HEDGES = ["might", "could", "possibly", "perhaps", "arguably", "suggest", "tend to"]
+
+# Human sets: which posts are usable, and the topics' keywords.
+DELETED = ["[deleted]", "[removed]", ""]
+BOTS = "DeltaBot AutoModerator BotDefense Mod_Approved_Source transcribersofreddit RemindMeBot MAGIC_EYE_BOT".split()
+MIN_WORDS, MAX_WORDS = 100, 2000
+KEYWORDS = {
+    "global_warming": ["global warming"],
+    "climate": [
+        "climate change", "climate crisis", "climate emergency", "climate policy", "climate science", "climate denial", "climate action", "the climate", "global warming",
+        "carbon emissions", "carbon footprint", "carbon tax", "carbon dioxide", "greenhouse gas", "greenhouse effect", "fossil fuels", "fossil fuel",
+        "renewable energy", "clean energy", "paris agreement", "paris accord", "net zero", "net-zero", "decarboni", "ipcc", "sea level rise", "extreme weather", "rising temperatures",
+    ],
+    "math_anxiety": [
+        "math anxiety", "maths anxiety", "mathematics anxiety", "math phobia", "fear of math", "afraid of math", "scared of math", "anxious about math",
+        "bad at math", "terrible at math", "hate math", "i hate maths", "math is hard", "maths is hard", "struggle with math", "struggling with math",
+        "math education", "maths education", "mathematics education", "math class", "maths class", "math curriculum", "learning math",
+        "teaching math", "math teacher", "maths teacher", "dyscalculia", "math requirement", "should math be", "why do we learn math", "stem anxiety",
+    ],
+    "misinfo_health": [
+        "health misinformation", "medical misinformation", "health disinformation", "anti-vax", "anti vax", "antivax", "anti-vaxx", "antivaxx", "anti-vaxxer",
+        "vaccine", "vaccines", "vaccinated", "vaccination", "vaccine hesitancy", "vaccine misinformation", "mmr vaccine", "flu shot", "covid vaccine",
+        "covid misinformation", "pandemic misinformation", "covid conspiracy", "alternative medicine", "natural medicine", "natural remedies", "naturopath",
+        "homeopathy", "homeopathic", "essential oils", "detox tea", "detoxify", "miracle cure", "snake oil", "big pharma", "medical conspiracy",
+        "fake health", "health hoax", "wellness industry", "wellness influencer", "fluoride in water", "raw milk", "anti-science", "pseudoscience",
+        "faith healing", "chiropractic", "essential oil", "supplement industry",
+    ],
+}
+
+# Syntax: dependency labels and parts of speech.
+PASSIVE = ["nsubjpass", "auxpass", "csubjpass"]
+CLAUSES = ["advcl", "ccomp", "xcomp", "acl", "relcl", "acl:relcl", "csubj"]
+CONTENT_POS = ["NOUN", "PROPN", "VERB", "ADJ", "ADV"]
+FUNCTION_POS = ["DET", "ADP", "PRON", "AUX", "CCONJ", "SCONJ", "PART", "NUM"]
+LENGTH_CAP = 80
+G2_LEAST = 10.83
