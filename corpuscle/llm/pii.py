@@ -215,12 +215,13 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
     Only rows that hold spans are joined with them, on the key and the text's hash; see `find_pii` for nulls and ties.
     """
     columns = docs.columns
-    found = find_pii(docs, key, text, **options).where(F.size("spans") > 0).select(F.col(key).alias("__k"), F.col("text_hash").alias("__h"), "spans", "removed")
-    found = found.dropDuplicates(["__k", "__h"])
-    joined = docs.join(found, F.col(key).eqNullSafe(F.col("__k")) & (F.xxhash64(text) == F.col("__h")), "left")
+    found = find_pii(docs, key, text, **options).where(F.size("spans") > 0)
+    found = found.select(F.col(key).alias("__k"), F.col("text_hash").alias("__h"), F.col("spans").alias("__spans"), F.col("removed").alias("__removed")).dropDuplicates(["__k", "__h"])
+    joined = docs.join(found, docs[key].eqNullSafe(F.col("__k")) & (F.xxhash64(docs[text]) == F.col("__h")), "left")
 
     @F.udf(T.StringType(), useArrow=True)
     def clean(value, spans, removed):
         return redact(value, spans, removed)
 
-    return joined.select(*(F.when(F.col("spans").isNull(), F.col(c)).otherwise(clean(F.col(c), "spans", "removed")).alias(c) if c == text else F.col(c) for c in columns))
+    cleaned = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(clean(F.col(text), "__spans", "__removed"))
+    return joined.select(*(cleaned.alias(c) if c == text else F.col(c) for c in columns))

@@ -75,20 +75,26 @@ def _value(name: str, head: bytes) -> str | None:
 
 
 def _records(pieces: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
-    """Header and block of each record, by Content-Length; pieces are what stands between blank lines."""
-    for piece in pieces:
-        head = piece.lstrip(b"\r\n")
+    """Header and block of each record, by Content-Length; pieces are what stands between blank lines.
+
+    A block that ends in a line end shifts the blank line after it, so that its last piece holds the next header too.
+    """
+    end, held = END.encode(), b""
+    while (piece := held or next(pieces, None)) is not None:
+        head, held = piece.lstrip(b"\r\n"), b""
         if not head.startswith(b"WARC/"):
             continue
         length = int(_LENGTH.search(head)[1])
-        block, have = [], -len(END)
+        block, have = [], -len(end)
         while have < length:
             part = next(pieces, None)
             if part is None:
                 break
             block.append(part)
-            have += len(part) + len(END)
-        yield head, END.encode().join(block)[:length]
+            have += len(part) + len(end)
+        whole = end.join(block)
+        held = whole[length:].lstrip(b"\r\n")
+        yield head, whole[:length]
 
 
 def read_archive(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
