@@ -56,7 +56,7 @@ def write_archive(records: DataFrame, path: str) -> None:
         F.lit(END),
     )
     writer = records.select(F.concat(head, block).alias("value")).write.option("lineSep", END).option("compression", "gzip")
-    writer.option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    writer.option("zlib.compress.level", "THREE").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 _LENGTH = re.compile(rb"^Content-Length: *(\d+)", re.M | re.I)
