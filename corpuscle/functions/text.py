@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fixed
 
@@ -92,7 +93,7 @@ def normalised(text: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(text_of(text), "\r\n", "\n"), "\r", "\n"), "\n{3,}", "\n\n"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(text):
     """HTML character references decoded; the table of names has no built-in equivalent."""
     import html
