@@ -49,8 +49,18 @@ def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
     return next((p for p in paths if hadoop(p).getFileSystem(conf).exists(hadoop(p))), None)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table that is scanned by fewer tasks than there are cores (one small file) dealt to all of them; others as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Driver documents as texts: source is the corpus, lang the topic."""
+    return spread(_documents(spark, sf_dir))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("model_dir"), F.col("lang").alias("topic"), F.col("doc_id").alias("text_ord"), "text")
 
 
