@@ -44,6 +44,11 @@ def drop_written(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """`df` in as many partitions as a shuffle has, for a step that makes far more of a row than the row's size tells."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; other letters stay as they are.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import dealt, written
 
 #: Vectors that the quantisers are fitted on, at most: those with the smallest hash of their values.
 SAMPLE = 20_000
@@ -178,7 +178,7 @@ def nearest(
 
     spread = placed.withColumn("h", F.pmod(F.xxhash64("vector"), F.lit(1 << 20)).cast("int")).mapInPandas(place, f"vector array<double>, ids array<{kind}>, cell int, h int, block int")
     spread = spread.drop("h").withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    routed = probes.mapInPandas(route, "block int, grp int, q long, vector array<double>, cells array<int>")
+    routed = dealt(probes, "q").mapInPandas(route, "block int, grp int, q long, vector array<double>, cells array<int>")
 
     def rank(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         """The k + 1 nearest entries of the visited cells, by each query; near ties are kept for the exact measure."""
