@@ -45,8 +45,12 @@ def drop_written(df: DataFrame) -> None:
 
 
 def dealt(df: DataFrame, *columns: str) -> DataFrame:
-    """`df` in as many partitions as a shuffle has, for a step that makes far more of a row than the row's size tells."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+    """`df` in as many partitions as a shuffle has, for a step that makes far more of a row than the row's size tells.
+
+    It is dealt by a hash of the columns: by the columns themselves, an exchange that is there already would do, and that
+    one may be coalesced by size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*columns))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import dealt, written
 from .components import components
 
 BITS = 64
@@ -96,7 +96,7 @@ def near_duplicate_classes(signatures: DataFrame, radius: int = 3) -> DataFrame:
     """
     fps = signatures.where(F.col("fp").isNotNull()).select("fp").distinct()
     half = radius // 2
-    star = fps.select("fp", F.explode(F.expr(_ball("fp", (1 << BITS) - 1, half))).alias("variant"))
+    star = dealt(fps, "fp").select("fp", F.explode(F.expr(_ball("fp", (1 << BITS) - 1, half))).alias("variant"))
     star = star.withColumn("low", F.min("fp").over(Window.partitionBy("variant"))).where("fp != low")
     first = written(components(star.select(F.col("fp").alias("u"), F.col("low").alias("v"))), "classes")
     classes = fps.join(first, fps.fp == first.node, "left").select("fp", F.coalesce("root", "fp").alias("root_fp"))
@@ -104,7 +104,7 @@ def near_duplicate_classes(signatures: DataFrame, radius: int = 3) -> DataFrame:
     if not views:
         return classes
     tagged = "flatten(array(" + ",".join(f"transform({_ball('fp', v, half)}, x -> struct({k} AS view, x AS variant))" for k, v in enumerate(views)) + "))"
-    seen = classes.select("fp", "root_fp", F.explode(F.expr(tagged)).alias("at")).select("fp", "root_fp", "at.view", "at.variant")
+    seen = dealt(classes, "fp").select("fp", "root_fp", F.explode(F.expr(tagged)).alias("at")).select("fp", "root_fp", "at.view", "at.variant")
     over = Window.partitionBy("view", "variant")
     mixed = seen.withColumn("lo", F.min("root_fp").over(over)).withColumn("hi", F.max("root_fp").over(over)).where("lo != hi").drop("lo", "hi")
     mixed = written(mixed, "candidates")
