@@ -136,5 +136,6 @@ def decontaminate(
     # An extra marker per shingle size would count a text more than once.
     copies = F.expr(f"explode(sequence(1L, copies div {len(sizes)}))")
     out = per_text.select("__key", "n_words", covered.alias("n_hit"), "items", copies.alias("__copy"))
-    hit = (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words"))
+    # A share that binary fractions only come near must not cost a document that is exactly at it.
+    hit = (F.col("n_hit") > 0) & (F.col("n_hit") + 1e-9 * F.col("n_words") >= F.lit(share) * F.col("n_words"))
     return out.select(F.col("__key").alias(key), "n_words", "n_hit", "items", hit.alias("contaminated"))
