@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,7 +17,8 @@ from .common import written
 #: The base patterns, in the order in which spans are listed.
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
+    # Not from inside a run of digits, nor giving digits back: the matches are the same, found in linear time.
+    "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
@@ -80,11 +82,24 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 def _contexts(text: str, spans: list[tuple[str, int, int]], words: int) -> list[dict]:
     """For each base span its entity and the terms among the `words` nearest on either side, other spans left out."""
     out = []
+    # Overlapping spans are merged, so that a bisection finds the last one that begins before a term ends.
+    starts, ends = [], []
+    for _, start, end in sorted(spans, key=lambda s: s[1:]):
+        if not ends or start >= ends[-1]:
+            starts.append(start)
+            ends.append(end)
+        else:
+            ends[-1] = max(ends[-1], end)
+
+    def covered(start: int, end: int) -> bool:
+        at = bisect_left(starts, end) - 1
+        return at >= 0 and ends[at] > start
+
     for kind, start, end in spans:
         lo = max(0, start - 16 * words)
         before = [(m[0].lower(), lo + m.start(), lo + m.end()) for m in _TERM.finditer(text[lo:start]) if lo == 0 or m.start() > 0][-words:]
         after = [(m[0].lower(), end + m.start(), end + m.end()) for m in _TERM.finditer(text[end : end + 16 * words]) if end + m.end() < end + 16 * words or end + 16 * words >= len(text)][:words]
-        terms = [t for t in before + after if not any(s < t[2] and t[1] < e for _, s, e in spans)]
+        terms = [t for t in before + after if not covered(t[1], t[2])]
         value = text[start:end].lower() if kind == "email" else _NOT_DIGIT.sub("." if kind == "ip" else "", text[start:end])
         out.append({"entity": f"{kind}:{value}", "context": " ".join(t[0] for t in before + after), "terms": [dict(zip(("term", "start", "end"), t, strict=True)) for t in terms]})
     return out
