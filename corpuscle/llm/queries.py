@@ -77,6 +77,49 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), MIX)
 
 
+#: op5 in SQL: CRC-32 bit by bit, then a water level per parent and level, then running sums in the seeded order.
+OP5_SQL = r"""
+WITH RECURSIVE src AS (SELECT DISTINCT coalesce(CAST(source AS VARCHAR), '') AS source FROM documents),
+crc AS (
+  SELECT source, hex(encode(source)) AS h, 0 AS step, CAST(4294967295 AS BIGINT) AS c FROM src
+  UNION ALL
+  SELECT source, h, step + 1, xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)
+  FROM (SELECT source, h, step, CASE WHEN step % 8 = 0 THEN xor(c, CAST('0x' || substr(h, CAST(2 * (step // 8) + 1 AS BIGINT), 2) AS BIGINT)) ELSE c END AS x FROM crc WHERE step < 4 * len(h))),
+origin AS (SELECT source, 'domain' || CAST(xor(c, 4294967295) % 4 AS VARCHAR) AS domain FROM crc WHERE step = 4 * len(h)),
+row_ AS (
+  SELECT doc_id, domain, coalesce(CAST(lang AS VARCHAR), '') AS lang, origin.source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
+  FROM documents JOIN origin ON origin.source = coalesce(CAST(documents.source AS VARCHAR), '')),
+leaf AS (
+  SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) AS DOUBLE) * 4 AS capacity, CASE source WHEN 'src0' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS w
+  FROM row_ GROUP BY ALL),
+lang_ AS (SELECT domain, lang, sum(capacity) AS capacity, CASE lang WHEN 'en' THEN 4.0::DOUBLE WHEN 'de' THEN 2.0::DOUBLE WHEN 'fr' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM leaf GROUP BY domain, lang),
+domain_ AS (SELECT domain, sum(capacity) AS capacity, CASE domain WHEN 'domain0' THEN 4.0::DOUBLE WHEN 'domain1' THEN 3.0::DOUBLE WHEN 'domain2' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM lang_ GROUP BY domain),
+top1 AS (
+  SELECT *, ((SELECT CAST(sum(n_tokens) AS DOUBLE) FROM row_) - coalesce(sum(capacity) OVER (ORDER BY capacity / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY capacity / w, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM domain_),
+top2 AS (SELECT domain, least(capacity, greatest(0, w * max(level) OVER ())) AS given FROM top1),
+mid1 AS (
+  SELECT lang_.*, (given - coalesce(sum(capacity) OVER (PARTITION BY domain ORDER BY capacity / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (PARTITION BY domain ORDER BY capacity / w, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM lang_ JOIN top2 USING (domain)),
+mid2 AS (SELECT domain, lang, least(capacity, greatest(0, w * max(level) OVER (PARTITION BY domain))) AS given FROM mid1),
+leaf1 AS (
+  SELECT leaf.*, (given - coalesce(sum(capacity) OVER (PARTITION BY domain, lang ORDER BY capacity / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (PARTITION BY domain, lang ORDER BY capacity / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM leaf JOIN mid2 USING (domain, lang)),
+leaf2 AS (SELECT *, least(capacity, greatest(0, w * max(level) OVER (PARTITION BY domain, lang))) AS given FROM leaf1),
+plan1 AS (SELECT *, CAST(CASE WHEN tokens > 0 THEN floor(given / tokens + 1e-9) ELSE 1 END AS BIGINT) AS whole FROM leaf2),
+plan_ AS (SELECT domain, lang, source, whole, CAST(floor(greatest(0, given - whole * tokens) + 1e-6) AS BIGINT) AS rest FROM plan1),
+placed AS (
+  SELECT row_.*, whole, rest, CAST('0x' || substr(md5('0:' || CAST(whole AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM row_ JOIN plan_ USING (domain, lang, source)),
+run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id NULLS FIRST, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM placed)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN whole < 4 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM run WHERE whole + CASE WHEN whole < 4 AND upto <= rest THEN 1 ELSE 0 END > 0
+"""
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -125,6 +168,22 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+#: op9 in SQL: base 32 from the SHA-1's hex digits, five (four characters) at a time.
+OP9_SQL = """
+WITH page AS (SELECT page_id, coalesce(CAST(html AS VARCHAR), '') AS payload FROM pages),
+hexed AS (SELECT page_id, payload, sha1(payload) AS h FROM page),
+cut AS (SELECT page_id, payload, %s FROM hexed),
+ranked AS (
+  SELECT *, %s AS digest, row_number() OVER (PARTITION BY payload ORDER BY page_id DESC NULLS LAST) AS r, max(page_id) OVER (PARTITION BY payload) AS kept FROM cut)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN r = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r > 1 THEN kept END AS refers_to
+FROM ranked
+""" % (
+    ", ".join(f"CAST('0x' || substr(h, {1 + 5 * k}, 5) AS BIGINT) AS v{k}" for k in range(8)),
+    " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((v{k} >> {s}) & 31) AS BIGINT), 1)" for k in range(8) for s in (15, 10, 5, 0)),
+)
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -141,4 +200,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_html": op10_html,
 }
-SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL}
+SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op5_mix": OP5_SQL, "op9_warc": OP9_SQL}

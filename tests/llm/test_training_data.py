@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -422,3 +423,43 @@ def test_html_rows(spark):
     got = html.extract_pages(pages).collect()
     assert sorted(r.n_chars for r in got) == sorted([len(html.extract(PAGE))] * 2 + [0]) and len(got) == 3
     assert html.extract_pages(spark.createDataFrame([], pages.schema)).count() == 0
+
+
+# ---------------------------------------------------------------- SQL
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_like_sql(spark, name):
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for table in ("documents", "benchmark", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
+    got = queries.QUERIES[name](spark, data)
+    cursor = con.execute(queries.SQL[name])
+    columns = [d[0] for d in cursor.description]
+    assert sorted(columns) == sorted(got.columns)
+    assert sorted(map(repr, got.select(*columns).toPandas().astype(object).where(lambda d: d.notna(), None).to_numpy().tolist())) == sorted(repr(list(r)) for r in cursor.fetchall())
+
+
+def test_pii_terms_inside_spans_are_left_out():
+    """The bisection over merged spans against all spans one by one; overlapping spans of several kinds."""
+    rng = random.Random(3)
+    text = " ".join(rng.choice(["alpha", "betagamma", "delta@mail.example.org", "10.0.0.1", "+49 30 1234 5678", "4111 1111 1111 1111", "+4111111111111111"]) for _ in range(400))
+    spans = pii.base_spans(text)
+    for context in pii._contexts(text, spans, 10):
+        assert not any(s < t["end"] and t["start"] < e for t in context["terms"] for _, s, e in spans)
+    assert any(c["terms"] for c in pii._contexts(text, spans, 10))
+
+
+def test_pii_addresses_like_the_plain_pattern():
+    rng, plain = random.Random(4), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(3000):
+        text = "".join(rng.choice("0129..a ") for _ in range(rng.randint(0, 40)))
+        assert [m.span() for m in pii.PATTERNS["ip"].finditer(text)] == [m.span() for m in plain.finditer(text)]
+
+
+def test_contaminated_at_exactly_the_share(spark):
+    """7 words of 140 are a twentieth, though 0.05 * 140 is more than 7 in binary fractions."""
+    docs = spark.createDataFrame([(1, " ".join([*"abcdefg", *(f"w{k}" for k in range(133))])), (2, " ".join([*"abcdefg", *(f"w{k}" for k in range(134))]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
+    assert {r.doc_id: (r.n_hit, r.contaminated) for r in decontaminate.decontaminate(docs, bench).collect()} == {1: (7, True), 2: (7, False)}
