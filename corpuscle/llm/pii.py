@@ -126,33 +126,49 @@ def find_base(docs: DataFrame, text: str, keep: tuple[str, ...], words: int) ->
     return source.mapInArrow(run, schema)
 
 
+def _by_copies(docs: DataFrame, copies: DataFrame, n_copied: int) -> DataFrame:
+    """`docs` (with `__hash`) with `weight`, 1 over the number of rows with the same text: a text's rows add up to 1.
+
+    copies: `__hash`, `m` of the texts with more than one row, broadcast in blocks of checked size.
+    """
+    blocks = max(1, -(-n_copied * 48 // BROADCAST_BYTES))
+    for k in range(blocks):
+        block = copies.where(F.pmod("__hash", F.lit(blocks)) == k).select(F.col("__hash").alias(f"__h{k}"), F.col("m").alias(f"__m{k}"))
+        docs = docs.join(F.broadcast(block), F.col("__hash") == F.col(f"__h{k}"), "left")
+    return docs.withColumn("weight", F.lit(1.0) / F.coalesce(*(f"__m{k}" for k in range(blocks)), F.lit(1)))
+
+
 def disclosing_terms(docs: DataFrame, text: str, near: DataFrame, threshold: float, remove: float, support: int) -> DataFrame:
     """Which terms reveal which entities: `entity`, `term`, `disclosure`, `action`.
 
-    near: `__key`, `__hash` (the document), `entity`, `context`, `term`, one row per term near an occurrence of the entity. With N documents, a term in
-    n_t of them, an entity in n_e contexts and both in n_te different contexts, the pointwise mutual information
+    docs: `__hash` and the text. near: `__hash` (of the text), `entity`, `context`, `term`, one row per term near an occurrence of the entity.
+    All counts are of different texts, so copies of a text neither prove nor hide anything. With N texts, a term in
+    n_t of them, an entity in n_e and both near each other in n_te, the pointwise mutual information
     log(N n_te / (n_t n_e)) over the entity's information log(N / n_e) is the share of the entity that the term
-    discloses. Contexts that read alike count once, so copies of a text prove nothing. Terms from `remove` on are
-    removed, others from `threshold` on are generalised.
+    discloses. `support` is the least number of different contexts, so that near copies prove nothing either. Terms
+    from `remove` on are removed, others from `threshold` on are generalised.
     """
-    contexts = near.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    pairs = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
-    # A term is in at least the documents that have it near some entity. Where these are too many already, the
-    # threshold is out of reach, and the term need not be counted in all documents.
-    total = docs.count()
-    around = near.select("term", "__key", "__hash").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    by_text = written(docs.groupBy("__hash").agg(F.count(F.lit(1)).alias("m")), "texts")
+    copies = by_text.where("m > 1")
+    n_copied, total = copies.count(), by_text.count()
+    entities = near.select("entity", "__hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    seen = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support)
+    pairs = near.select("entity", "term", "__hash").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).join(seen, ["entity", "term"])
+    # A term is in at least the texts that have it near some entity. Where these are too many already, the
+    # threshold is out of reach, and the term need not be counted in all texts.
+    around = near.select("term", "__hash").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     reach = F.col("n_te") * F.pow(F.lit(float(max(total, 2))) / F.col("n_e"), F.lit(1 - threshold)) * (1 + 1e-9)
-    pairs = written(pairs.where(F.col("n_te") >= support).join(contexts, "entity").join(around, "term").where(F.col("n_near") <= reach), "pairs")
+    pairs = written(pairs.join(entities, "entity").join(around, "term").where(F.col("n_near") <= reach), "pairs")
     terms = written(pairs.select("term").distinct(), "terms")
     size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 48), F.lit(0)).alias("b")).first().b
     blocks = max(1, -(-size // BROADCAST_BYTES))
-    words = docs.select(F.explode_outer(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"))).alias("term"))
-    counted = [words.join(F.broadcast(terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k)), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t")) for k in range(blocks if size else 0)]
+    weighed = _by_copies(docs, copies, n_copied)
+    words = weighed.select("weight", F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"))).alias("term"))
+    counted = [words.join(F.broadcast(terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k)), "term").groupBy("term").agg(F.round(F.sum("weight")).alias("n_t")) for k in range(blocks if size else 0)]
     if not counted:
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"), F.lit("").alias("action"))
     scored = pairs.join(reduce(DataFrame.unionByName, counted), "term", "left")
-    # Copies hold a term too, but count as one context: a term is in at least as many documents as contexts.
-    n_t = F.greatest(F.coalesce("n_t", F.lit(0)), F.col("n_te"), F.col("n_near"))
+    n_t = F.greatest(F.coalesce("n_t", F.lit(0.0)), F.col("n_near"))
     information = F.log(F.lit(float(max(total, 2))) / F.col("n_e"))
     mutual = F.log(F.lit(float(max(total, 2))) * F.col("n_te") / (n_t * F.col("n_e")))
     share = F.when(information > 0, mutual / information).otherwise(F.lit(0.0))

@@ -463,3 +463,14 @@ def test_contaminated_at_exactly_the_share(spark):
     docs = spark.createDataFrame([(1, " ".join([*"abcdefg", *(f"w{k}" for k in range(133))])), (2, " ".join([*"abcdefg", *(f"w{k}" for k in range(134))]))], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     assert {r.doc_id: (r.n_hit, r.contaminated) for r in decontaminate.decontaminate(docs, bench).collect()} == {1: (7, True), 2: (7, False)}
+
+
+def test_pii_copies_do_not_hide_a_disclosing_term(spark):
+    """Five texts have the term by the address; one of them is there 1,000 times."""
+    rng = random.Random(3)
+    other = [sentence(rng, 30) for _ in range(300)]
+    told = [f"{sentence(rng, 3)} we asked Zorblatt near boss@corp.example and {sentence(rng, 2)} that was {k}" for k in range(5)]
+    rows = [*other, *told, *[told[0]] * 999]
+    for r in pii.find_pii(docs_of(spark, rows)).collect():
+        terms = {rows[r.doc_id][s["start"] : s["end"]] for s in r.spans if s["kind"] == "term"}
+        assert ("Zorblatt" in terms) == (r.doc_id >= 300)
