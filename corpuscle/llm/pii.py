@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,9 @@ PATTERNS = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 KINDS = (*PATTERNS, "term")
-_TERM = re.compile(r"[^\W\d_]{4,}")
+_RUN = re.compile(r"[^\W\d_]+")
+#: A term is a run of at least so many letters.
+TERM_LETTERS = 4
 _AT_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile(r"[0-9]")
@@ -32,9 +34,9 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 BROADCAST_BYTES = 48 << 20
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-CONTEXT = T.StructType(
-    [T.StructField("entity", T.StringType()), T.StructField("context", T.StringType()), T.StructField("terms", T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
-)
+CONTEXT = T.StructType([T.StructField("entity", T.StringType()), T.StructField("context", T.StringType())])
+#: A term of a text and where it stands outside base spans; nowhere, if only inside them.
+TERM = T.StructType([T.StructField("term", T.StringType()), T.StructField("at", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
 
 
 def _luhn(digits: str) -> bool:
@@ -79,9 +81,32 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return found
 
 
-def _contexts(text: str, spans: list[tuple[str, int, int]], words: int) -> list[dict]:
-    """For each base span its entity and the terms among the `words` nearest on either side, other spans left out."""
+def _runs(text: str) -> list[tuple[str, int, int]]:
+    """The terms of a text, lower-cased, with start and end: runs of the characters that \\p{L} matches, as in `_term_list`."""
     out = []
+    for m in _RUN.finditer(text):
+        if m.end() - m.start() < TERM_LETTERS:
+            continue
+        if m[0].isalpha():
+            out.append((m[0].lower(), m.start(), m.end()))
+            continue
+        start = m.start()
+        for at in range(m.start(), m.end() + 1):  # numerals such as a superscript two end a run
+            if at == m.end() or not text[at].isalpha():
+                if at - start >= TERM_LETTERS:
+                    out.append((text[start:at].lower(), start, at))
+                start = at + 1
+    return out
+
+
+def _term_list(text: Column) -> Column:
+    """The different terms of a text."""
+    runs = F.split(F.coalesce(text, F.lit("")), r"[^\p{L}]+")
+    return F.array_distinct(F.transform(F.filter(runs, lambda r: F.char_length(r) >= TERM_LETTERS), F.lower))
+
+
+def _outside(runs: list[tuple[str, int, int]], spans: list[tuple[str, int, int]]) -> list[bool]:
+    """For each run whether it lies outside all spans."""
     # Overlapping spans are merged, so that a bisection finds the last one that begins before a term ends.
     starts, ends = [], []
     for _, start, end in sorted(spans, key=lambda s: s[1:]):
@@ -90,38 +115,58 @@ def _contexts(text: str, spans: list[tuple[str, int, int]], words: int) -> list[
             ends.append(end)
         else:
             ends[-1] = max(ends[-1], end)
-
-    def covered(start: int, end: int) -> bool:
+    out = []
+    for _, start, end in runs:
         at = bisect_left(starts, end) - 1
-        return at >= 0 and ends[at] > start
+        out.append(at < 0 or ends[at] <= start)
+    return out
 
+
+def _contexts(text: str, spans: list[tuple[str, int, int]], words: int, runs: list[tuple[str, int, int]] | None = None) -> list[dict]:
+    """For each base span its entity and the `words` nearest terms on either side: all as `context`, those outside spans as `terms`."""
+    runs = _runs(text) if runs is None else runs
+    outside = _outside(runs, spans)
+    first, last = [r[1] for r in runs], [r[2] for r in runs]
+    out = []
     for kind, start, end in spans:
-        lo = max(0, start - 16 * words)
-        before = [(m[0].lower(), lo + m.start(), lo + m.end()) for m in _TERM.finditer(text[lo:start]) if lo == 0 or m.start() > 0][-words:]
-        after = [(m[0].lower(), end + m.start(), end + m.end()) for m in _TERM.finditer(text[end : end + 16 * words]) if end + m.end() < end + 16 * words or end + 16 * words >= len(text)][:words]
-        terms = [t for t in before + after if not covered(t[1], t[2])]
+        lo, hi = bisect_right(last, start), bisect_left(first, end)
+        near = [*range(max(0, lo - words), lo), *range(hi, min(len(runs), hi + words))]
         value = text[start:end].lower() if kind == "email" else _NOT_DIGIT.sub("." if kind == "ip" else "", text[start:end])
-        out.append({"entity": f"{kind}:{value}", "context": " ".join(t[0] for t in before + after), "terms": [dict(zip(("term", "start", "end"), t, strict=True)) for t in terms]})
+        terms = [dict(zip(("term", "start", "end"), runs[k], strict=True)) for k in near if outside[k]]
+        out.append({"entity": f"{kind}:{value}", "context": " ".join(runs[k][0] for k in near), "terms": terms})
     return out
 
 
+def _terms(runs: list[tuple[str, int, int]], spans: list[tuple[str, int, int]]) -> list[dict]:
+    found: dict[str, list[dict]] = {}
+    for (term, start, end), free in zip(runs, _outside(runs, spans), strict=True):
+        at = found.setdefault(term, [])
+        if free:
+            at.append({"start": start, "end": end})
+    return [{"term": t, "at": at} for t, at in found.items()]
+
+
 def find_base(docs: DataFrame, text: str, keep: tuple[str, ...], words: int) -> DataFrame:
-    """The columns `keep`, `spans` and `contexts` of every row. No shuffle."""
+    """The columns `keep`, `spans`, `contexts` and, where there are spans, `terms` of every row. No shuffle."""
     source = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("spans", T.ArrayType(SPAN)), T.StructField("contexts", T.ArrayType(CONTEXT))])
+    more = [T.StructField("spans", T.ArrayType(SPAN)), T.StructField("contexts", T.ArrayType(CONTEXT)), T.StructField("terms", T.ArrayType(TERM))]
+    schema = T.StructType([*source.schema.fields[:-1], *more])
     from pyspark.sql.pandas.types import to_arrow_type
 
-    arrow = [to_arrow_type(f.dataType, prefers_large_types=False) for f in schema.fields[-2:]]
+    arrow = [to_arrow_type(f.dataType, prefers_large_types=False) for f in more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, contexts = [], []
+            spans, contexts, terms = [], [], []
             for value in batch.column(len(keep)):
                 value = value.as_py()
                 found = base_spans(value)
+                runs = _runs(value) if found else []
                 spans.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in found])
-                contexts.append(_contexts(value, found, words) if found else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, arrow[0]), pa.array(contexts, arrow[1])], [f.name for f in schema.fields])
+                contexts.append([{"entity": c["entity"], "context": c["context"]} for c in _contexts(value, found, words, runs)] if found else [])
+                terms.append(_terms(runs, found))
+            columns = [pa.array(v, t) for v, t in zip((spans, contexts, terms), arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [f.name for f in schema.fields])
 
     return source.mapInArrow(run, schema)
 
@@ -138,32 +183,38 @@ def _by_copies(docs: DataFrame, copies: DataFrame, n_copied: int) -> DataFrame:
     return docs.withColumn("weight", F.lit(1.0) / F.coalesce(*(f"__m{k}" for k in range(blocks)), F.lit(1)))
 
 
-def disclosing_terms(docs: DataFrame, text: str, near: DataFrame, threshold: float, remove: float, support: int) -> DataFrame:
+def disclosing_terms(docs: DataFrame, text: str, held: DataFrame, terms_of: DataFrame, threshold: float, remove: float) -> DataFrame:
     """Which terms reveal which entities: `entity`, `term`, `disclosure`, `action`.
 
-    docs: `__hash` and the text. near: `__hash` (of the text), `entity`, `context`, `term`, one row per term near an occurrence of the entity.
-    All counts are of different texts, so copies of a text neither prove nor hide anything. With N texts, a term in
-    n_t of them, an entity in n_e and both near each other in n_te, the pointwise mutual information
-    log(N n_te / (n_t n_e)) over the entity's information log(N / n_e) is the share of the entity that the term
-    discloses. `support` is the least number of different contexts, so that near copies prove nothing either. Terms
+    docs: `__hash` and the text. held: `__hash` (of the text), `entity`, `context`, one row per entity of a text. terms_of:
+    `__hash`, `terms` of each text that holds entities. All counts are of different texts, so copies of a text neither
+    prove nor hide anything. With N texts, a term in n_t of them, an entity in n_e and both in n_te, the pointwise mutual
+    information log(N n_te / (n_t n_e)) over the entity's information log(N / n_e) is the share of the entity that the
+    term discloses. n_te is smoothed by leaving one observation out: of the k different contexts that the entity has in
+    those n_te texts, k - 1 count, that is n_te (k - 1) / k. So texts that read alike around the entity count as one
+    observation, and one observation proves nothing: it makes every rare word of its text look exclusive. Terms
     from `remove` on are removed, others from `threshold` on are generalised.
     """
     by_text = written(docs.groupBy("__hash").agg(F.count(F.lit(1)).alias("m")), "texts")
     copies = by_text.where("m > 1")
     n_copied, total = copies.count(), by_text.count()
-    entities = near.select("entity", "__hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    seen = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support)
-    pairs = near.select("entity", "term", "__hash").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).join(seen, ["entity", "term"])
-    # A term is in at least the texts that have it near some entity. Where these are too many already, the
+    # An entity with one context has no term with two; most entities go here, before their texts' terms are looked at.
+    entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.count_distinct("context").alias("k")).where((F.col("k") > 1) & (F.col("n_e") < total))
+    held = written(held.join(entities.select("entity", "n_e"), "entity"), "held")
+    terms_of = written(terms_of.join(held.select("__hash").distinct(), "__hash", "left_semi").select("__hash", F.explode("terms").alias("term")), "terms-held")
+    seen = held.join(terms_of, "__hash").groupBy("entity", "n_e", "term", "context").agg(F.count(F.lit(1)).alias("n_te"))
+    pairs = seen.groupBy("entity", "n_e", "term").agg(F.sum("n_te").alias("n_te"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    pairs = pairs.select("entity", "n_e", "term", (F.col("n_te") * (F.col("k") - 1) / F.col("k")).alias("n_te"))
+    # A term is in at least the texts that hold it and such an entity. Where these are too many already, the
     # threshold is out of reach, and the term need not be counted in all texts.
-    around = near.select("term", "__hash").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    around = terms_of.groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     reach = F.col("n_te") * F.pow(F.lit(float(max(total, 2))) / F.col("n_e"), F.lit(1 - threshold)) * (1 + 1e-9)
-    pairs = written(pairs.join(entities, "entity").join(around, "term").where(F.col("n_near") <= reach), "pairs")
+    pairs = written(pairs.join(around, "term").where(F.col("n_near") <= reach), "pairs")
     terms = written(pairs.select("term").distinct(), "terms")
     size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 48), F.lit(0)).alias("b")).first().b
     blocks = max(1, -(-size // BROADCAST_BYTES))
     weighed = _by_copies(docs, copies, n_copied)
-    words = weighed.select("weight", F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"))).alias("term"))
+    words = weighed.select("weight", F.explode(_term_list(F.col(text))).alias("term"))
     counted = [words.join(F.broadcast(terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k)), "term").groupBy("term").agg(F.round(F.sum("weight")).alias("n_t")) for k in range(blocks if size else 0)]
     if not counted:
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"), F.lit("").alias("action"))
@@ -185,15 +236,14 @@ def find_pii(
     words: int = 10,
     threshold: float = 0.8,
     remove: float = 0.95,
-    support: int = 3,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """The personal data of every row: `key`, `carry` columns, `spans` (kind, start, end; code points, end exclusive,
     by kind and start; a term's kind is "term") and `removed` (starts of the terms to remove, not to generalise).
 
     Base spans (e-mail, IP address, payment card, phone) come from the row alone. Terms come from the corpus: see
-    `disclosing_terms`; a term is a run of 4 or more letters among the `words` nearest to an entity, and is marked where it stands
-    near that entity. Counts cover all documents; candidate terms are broadcast in blocks of checked size.
+    `disclosing_terms`; a term is a run of 4 or more letters, and is marked wherever it stands outside base spans in a text
+    that holds the entity. An entity's context is its `words` nearest terms on either side, however far. Counts cover all documents; candidate terms are broadcast in blocks of checked size.
 
     A null or empty text has no spans. Repeated rows each come back with the same spans; rows with one key and
     different texts are kept apart by their text's hash. A null key is a key like any other. An empty table gives no rows.
@@ -201,23 +251,20 @@ def find_pii(
     named = docs.select(F.col(key).alias("__key"), F.xxhash64(text).alias("__hash"), *(F.col(c).alias(f"__c_{c}") for c in carry), F.col(text).alias("__text"))
     keep = ("__key", "__hash", *(f"__c_{c}" for c in carry))
     found = written(find_base(named, "__text", keep, words), "base-spans")
-    near = (
-        found.where(F.size("contexts") > 0)
-        .select("__key", "__hash", F.explode("contexts").alias("c"))
-        .select("__key", "__hash", "c.entity", "c.context", F.explode("c.terms").alias("t"))
-        .select("__key", "__hash", "entity", "context", "t.term", "t.start", "t.end")
-    )
-    told = written(disclosing_terms(named, "__text", near, threshold, remove, support), "disclosing")
-    marked = (
-        near.join(told, ["entity", "term"])
-        .groupBy("__key", "__hash")
-        .agg(F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("more"), F.array_sort(F.collect_set(F.when(F.col("action") == "remove", F.col("start")))).alias("removed"))
-    )
-    both = found.alias("f").join(marked.alias("m"), F.col("f.__key").eqNullSafe(F.col("m.__key")) & (F.col("f.__hash") == F.col("m.__hash")), "left")
-    spans = F.when(F.col("m.more").isNull(), F.col("f.spans")).otherwise(F.concat("f.spans", "m.more"))
+    # A text has one context of an entity, so that one text is one observation.
+    full = found.where(F.size("contexts") > 0)
+    held = written(full.select("__hash", F.explode("contexts").alias("c")).groupBy("__hash", "c.entity").agg(F.min("c.context").alias("context")), "entities")
+    terms_of = full.select("__hash", F.transform("terms", lambda t: t["term"]).alias("terms")).dropDuplicates(["__hash"])
+    told = written(disclosing_terms(named, "__text", held, terms_of, threshold, remove), "disclosing")
+    by_term = held.join(told, "entity").groupBy("__hash", "term").agg(F.max(F.col("action") == "remove").alias("gone"))
+    marked = written(by_term.groupBy("__hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("told")), "marked")
+    places = F.flatten(F.transform(F.filter("f.terms", lambda t: F.map_contains_key("m.told", t["term"])), lambda t: F.transform(t["at"], lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"), F.element_at("m.told", t["term"]).alias("gone")))))
+    both = found.alias("f").join(marked.alias("m"), F.col("f.__hash") == F.col("m.__hash"), "left").withColumn("places", F.when(F.col("m.told").isNotNull(), F.array_sort(places)))
+    more = F.transform("places", lambda p: F.struct(F.lit("term").alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
+    removed = F.transform(F.filter("places", lambda p: p["gone"]), lambda p: p["start"])
     return both.select(
-        F.col("f.__key").alias(key), *(F.col(f"f.__c_{c}").alias(c) for c in carry), spans.alias("spans"),
-        F.coalesce("m.removed", F.array().cast("array<bigint>")).alias("removed"), F.col("f.__hash").alias("text_hash"),
+        F.col("f.__key").alias(key), *(F.col(f"f.__c_{c}").alias(c) for c in carry), F.when(F.col("places").isNull(), F.col("f.spans")).otherwise(F.concat("f.spans", more)).alias("spans"),
+        F.coalesce(removed, F.array().cast("array<bigint>")).alias("removed"), F.col("f.__hash").alias("text_hash"),
     )
 
 

@@ -474,3 +474,25 @@ def test_pii_copies_do_not_hide_a_disclosing_term(spark):
     for r in pii.find_pii(docs_of(spark, rows)).collect():
         terms = {rows[r.doc_id][s["start"] : s["end"]] for s in r.spans if s["kind"] == "term"}
         assert ("Zorblatt" in terms) == (r.doc_id >= 300)
+
+
+def test_pii_terms_anywhere_and_of_rarer_entities(spark):
+    """An address in two texts; its owner's name far above it, and again below."""
+    rng = random.Random(6)
+    filler = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(100))
+    other = [filler() for _ in range(400)]
+    told = [f"Zorblatt {filler()} boss@corp.example {filler()} zorblatt." for _ in range(2)]
+    once = [f"Quuxley {filler()} else@corp.example"]
+    rows = [*other, *told, *once]
+    for r in pii.find_pii(docs_of(spark, rows)).collect():
+        terms = [rows[r.doc_id][s["start"] : s["end"]] for s in r.spans if s["kind"] == "term"]
+        assert ("Zorblatt" in terms and "zorblatt" in terms) if 400 <= r.doc_id < 402 else not terms
+    # The nearest terms are those by count, however far.
+    text = "alpha " + "1 " * 300 + "a@b.c" + " 2" * 300 + " omega"
+    assert pii._contexts(text, pii.base_spans(text), 1)[0]["context"] == "alpha omega"
+
+
+def test_pii_terms_are_cut_alike_by_engine_and_python(spark):
+    texts = ["Straße ÉCOLE x²yzabc abcd²efgh \u0130stanbul na\u0308ive ΣΟΦΟΣ under_score ab12cdef 中文字词语 abc", "", None]
+    got = {r.text: set(r.t) for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", pii._term_list(F.col("text")).alias("t")).collect()}
+    assert got == {t: {r[0] for r in pii._runs(t or "")} for t in texts}
