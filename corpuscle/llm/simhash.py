@@ -134,3 +134,16 @@ def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", radi
         signed.join(by_class.join(lowest, "root_fp").select("fp", "component_id"), "fp")
         .select(key, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
     )
+
+
+def class_survivors(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """For each class of near duplicates the document that stands for it: `key`, `text_hash` (XXH64 of its text).
+
+    It is that with the smallest key, among equal keys that with the least hash; a null key comes after all others. A
+    class is told by its fingerprints, not by a key: several may have the same key or none.
+    """
+    named = docs.select(key, F.xxhash64(text).alias("text_hash"), text)
+    signed = written(fingerprints(named, text, shingle, seed, (key, "text_hash")), "fingerprints")
+    least = signed.groupBy("fp").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "text_hash")).alias("low"))
+    lowest = near_duplicate_classes(signed, radius).join(least, "fp").groupBy("root_fp").agg(F.min("low").alias("low"))
+    return lowest.select(F.col("low.key").alias(key), "low.text_hash")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
 from .decontaminate import decontaminate
 from .mixing import mix
 from .pii import sanitise
 from .quality import keep_good
 from .queries import MIX, table
-from .simhash import simhash_dedup
+from .simhash import class_survivors
 
 
 def without_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,10 +20,12 @@ def without_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class: that with the smallest doc_id. Repeated rows of it count as one."""
-    found = simhash_dedup(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each SimHash class: that with the smallest doc_id, null after all others, ties to the least hash of
+    the text. Repeated rows of it, by doc_id and text, count as one."""
+    kept = written(class_survivors(docs), "survivors").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__kept"))
+    hashed = docs.withColumn("__hash", F.xxhash64("text"))
+    own = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__kept")), "left_semi")
+    return own.dropDuplicates(["doc_id", "__hash"]).drop("__hash")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,13 @@ def test_nothing_left_of_an_empty_corpus(spark, planted):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, planted)
     assert docs.count() == 0
+
+
+def test_unique_texts_stay_without_ids_and_under_one_id(spark):
+    """Texts without an id, twice each; two texts under one id; a copy with an id of a text without."""
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmno") for _ in range(6)) for _ in range(80)) for _ in range(12)]
+    rows = [*((None, t) for t in texts[:8] for _ in range(2)), (5, texts[8]), (5, texts[9]), (5, texts[9]), (7, texts[0]), (9, texts[10]), (8, texts[10]), (1, texts[11])]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id or 0, r.text) for r in stages.one_of_each(spark, docs, "").collect()))
+    assert got == sorted([*((0, t) for t in texts[1:8]), (7, texts[0]), (5, texts[8]), (5, texts[9]), (8, texts[10]), (1, texts[11])])
