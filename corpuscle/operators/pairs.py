@@ -109,7 +109,7 @@ def matrix(distances: DataFrame, names: list[str]) -> DataFrame:
     return wide.select(F.col("model_a").alias("model"), *(F.when(F.col("model_a") == n, 0.0).otherwise(F.col(n)).alias(n) for n in names))
 
 
-def verdict(bigram: Column, jaccard_: Column, d: Column, delta: Column) -> Column:
-    """Warnings of a comparison."""
-    named = [("effect_size", F.abs(d) > 0.2), ("vocabulary", jaccard_ < 0.7), ("bigrams", bigram > 0.15), ("delta", delta > 1)]
+def verdict(bigram: Column, jaccard_: Column, d: Column, delta: Column, text_p: Column, sentence_p: Column) -> Column:
+    """Warnings of a comparison; delta is the pair's own (A9), text_p and sentence_p are KS p-values of lengths."""
+    named = [("text_lengths", text_p < 0.05), ("sentence_lengths", sentence_p < 0.05), ("effect_size", F.abs(d) > 0.2), ("vocabulary", jaccard_ < 0.7), ("bigrams", bigram > 0.15), ("delta", delta > 1)]
     return F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in named))), ",")

@@ -199,12 +199,11 @@ def burrows_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta.chunked(documents(spark, sf_dir))
 
 
-def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The long table (metric, scope, model_a, model_b, distance) of the pooled scope."""
-    texts = documents(spark, sf_dir)
+def _distances(texts: DataFrame, scope: str) -> DataFrame:
+    """The long table (metric, scope, model_a, model_b, distance) of one scope's texts."""
     d = delta.between(delta.centroids(texts))
-    long = lambda df, c, name: df.select(F.lit(name).alias("metric"), F.lit("pooled").alias("scope"), "model_a", "model_b", F.col(c).alias("distance"))
-    gap = lambda df, c, name: df.alias("a").join(df.alias("b"), F.col("a.model_dir") < F.col("b.model_dir")).select(F.lit(name).alias("metric"), F.lit("pooled").alias("scope"), F.col("a.model_dir").alias("model_a"), F.col("b.model_dir").alias("model_b"), F.round(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")), 6).alias("distance"))
+    long = lambda df, c, name: df.select(F.lit(name).alias("metric"), F.lit(scope).alias("scope"), "model_a", "model_b", F.col(c).alias("distance"))
+    gap = lambda df, c, name: df.alias("a").join(df.alias("b"), F.col("a.model_dir") < F.col("b.model_dir")).select(F.lit(name).alias("metric"), F.lit(scope).alias("scope"), F.col("a.model_dir").alias("model_a"), F.col("b.model_dir").alias("model_b"), F.round(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")), 6).alias("distance"))
     lex = lexical.profile(texts)
     parts = [
         long(d, "burrows", "burrows_delta"), long(d, "cosine", "cosine_delta"), long(pairs.jsd(texts, 2), "jsd", "bigram_jsd"), long(pairs.jsd(texts, 3), "jsd", "trigram_jsd"),
@@ -221,7 +220,12 @@ def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("distance_long")
 def distance_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _distances(spark, sf_dir)
+    """Every topic by itself, and all pooled; a text without a topic is in the pooled scope only."""
+    texts = documents(spark, sf_dir)
+    out = _distances(texts, "pooled")
+    for r in sorted(texts.where(F.col("topic").isNotNull()).select("topic").distinct().collect()):  # a list of topics is short
+        out = out.unionByName(_distances(texts.where(F.col("topic") == r.topic), r.topic))
+    return out
 
 
 def _burrows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,8 +267,10 @@ def gap_vs_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts, on = documents(spark, sf_dir), ["model_a", "model_b"]
     both = pairs.jaccard(texts).join(pairs.jsd(texts, 2), on).join(pairs.cohens_d(pairs.moments(pairs.lengths(texts))), on).join(delta.between(delta.centroids(texts)), on)
-    both = both.join(pairs.ks(pairs.lengths(texts)), on).withColumn("ks_p", F.round(pairs.ks_p(F.col("ks"), F.col("n_a").cast("double"), F.col("n_b").cast("double")), 6))
-    return both.withColumn("warnings", pairs.verdict(F.col("jsd"), F.col("jaccard"), F.col("d"), F.col("burrows")))
+    p = lambda ks: F.round(pairs.ks_p(F.col(ks), F.col("n_a").cast("double"), F.col("n_b").cast("double")), 6)
+    sentences = pairs.ks(pairs.sentence_lengths(texts)).select(*on, F.col("ks").alias("sentence_ks"), p("ks").alias("sentence_ks_p"))
+    both = both.join(pairs.ks(pairs.lengths(texts)), on).withColumn("ks_p", p("ks")).join(sentences, on, "left").join(delta.chunked(texts), on)
+    return both.withColumn("warnings", pairs.verdict(F.col("jsd"), F.col("jaccard"), F.col("d"), F.col("burrows_chunked"), F.col("ks_p"), F.col("sentence_ks_p")))
 
 
 @query("dedup_keep_first", "SELECT source AS model_dir, lang AS topic, min(doc_id) AS text_ord FROM documents GROUP BY source, lang, text")
