@@ -410,6 +410,12 @@ def keyness_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyness.consensus(documents(spark, sf_dir))
 
 
+@query("keyness_consensus_full")
+def keyness_consensus_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the reference's 50 half samples and least count of 20."""
+    return keyness.consensus(documents(spark, sf_dir), reps=50, least=20)
+
+
 _SUMMARY = "count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(quantile_cont(v, 0.025), 6) AS p2_5, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.975), 6) AS p97_5"
 
 
@@ -424,6 +430,12 @@ def bootstrap_ttr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.bootstrap_ttr(documents(spark, sf_dir))
 
 
+@query("bootstrap_ttr_ci_full")
+def bootstrap_ttr_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the reference's 1,000 samples."""
+    return resample.bootstrap_ttr(documents(spark, sf_dir), reps=1000)
+
+
 @query(
     "within_corpus_split_half",
     f"WITH {_TOK}, rp AS (SELECT model_dir, text_ord, unnest(range(10)) AS rep FROM txt), rr AS (SELECT *, row_number() OVER (PARTITION BY rep, model_dir ORDER BY {_draw_sql(chr(39) + 'half' + chr(39), 'rep', 'model_dir', 'text_ord')}, text_ord) AS r, least(count(*) OVER (PARTITION BY rep, model_dir), 1000) // 2 AS h FROM rp), "
@@ -436,6 +448,12 @@ def split_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.split_half_distance(documents(spark, sf_dir))
 
 
+@query("within_corpus_split_half_full")
+def split_half_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the reference's 100 splits."""
+    return resample.split_half_distance(documents(spark, sf_dir), reps=100)
+
+
 def _quart(p: float) -> str:
     h = f"(len(a) + 1) * {p}::DOUBLE"
     lo = f"CAST(greatest(1, least(floor({h}), len(a) - 1)) AS INTEGER)"
