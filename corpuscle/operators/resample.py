@@ -1,4 +1,4 @@
-"""Resampling with md5 draws: bootstrap, split halves, author splits. Draws are weights per text; tokens are never copied."""
+"""Resampling with md5 draws: bootstrap of the type-token ratio, split halves of corpora. Draws are weights per text; tokens are never copied."""
 
 from __future__ import annotations
 
