@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import string
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder, as in tests.
+#: Used only where a local session names no folder, as in tests.
 LOCAL_DEFAULT = "/tmp/checkpoints/corpuscle"
+#: What is broadcast at once, in bytes (as estimated): a larger side is joined by a shuffle, or in blocks.
+BROADCAST_BYTES = 48 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local default."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may go without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or LOCAL_DEFAULT).rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -53,6 +59,27 @@ def dealt(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*columns))
 
 
+def in_one_column(df: DataFrame, **more: Column) -> DataFrame:
+    """`df` with all its columns in one, `row`, and the columns `more`: nothing of `df` can clash with them."""
+    return df.select(F.struct(*(F.col(_quoted(c)) for c in df.columns)).alias("row"), *(v.alias(k) for k, v in more.items()))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fits(df: DataFrame, row_bytes: Column | int) -> bool:
+    """Whether the rows of a written table, `row_bytes` each, come to at most BROADCAST_BYTES."""
+    size = df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes).alias("b")).first().b or 0
+    return size <= BROADCAST_BYTES
+
+
+def small(df: DataFrame, row_bytes: Column | int) -> DataFrame:
+    """A written table, marked for broadcast if it fits. The join's result is the same either way: beyond the bound both
+    sides are shuffled."""
+    return F.broadcast(df) if fits(df, row_bytes) else df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; other letters stay as they are.
 

@@ -87,7 +87,8 @@ def decontaminate(
 ) -> DataFrame:
     """Where documents hold benchmark windows. One row per input row: `key`, `n_words`, `n_hit` (words inside any
     occurrence of a window), `items` (sorted ids, as strings, of items with occurring windows), `contaminated`
-    (n_hit > 0 and n_hit >= share * n_words).
+    (n_hit > 0 and n_hit >= share * n_words), `whole_window` (a window of full length occurs: `window` words in a row are
+    an item's) and `text_hash` (XXH64 of the text).
 
     The documents are read twice. The first pass counts the benchmark's shingles over all of them; the second looks up
     only each window's rarest shingle (the prefix), drops places where the window cannot fit (length and positional
@@ -135,7 +136,8 @@ def decontaminate(
     )
     # An extra marker per shingle size would count a text more than once.
     copies = F.expr(f"explode(sequence(1L, copies div {len(sizes)}))")
-    out = per_text.select("__key", "n_words", covered.alias("n_hit"), "items", copies.alias("__copy"))
+    whole = F.exists("runs", lambda r: r["e"] - r["s"] >= window)
+    out = per_text.select("__key", "__hash", "n_words", covered.alias("n_hit"), "items", whole.alias("whole_window"), copies.alias("__copy"))
     # A share that binary fractions only come near must not cost a document that is exactly at it.
     hit = (F.col("n_hit") > 0) & (F.col("n_hit") + 1e-9 * F.col("n_words") >= F.lit(share) * F.col("n_words"))
-    return out.select(F.col("__key").alias(key), "n_words", "n_hit", "items", hit.alias("contaminated"))
+    return out.select(F.col("__key").alias(key), "n_words", "n_hit", "items", hit.alias("contaminated"), "whole_window", F.col("__hash").alias("text_hash"))
