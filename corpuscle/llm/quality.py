@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import fits, written
 
 FEATURES = (
     "bytes", "words", "lines", "upper", "lower", "digit", "space", "other_bytes", "comma", "stop", "bang", "bar", "symbol", "dash", "quote",
@@ -193,7 +193,17 @@ def text_scorer(model: Model):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.5, **options) -> DataFrame:
-    """The rows of `docs`, with all their columns, that score at least `threshold`."""
-    stats = features(docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")), "__t", ("__k",))
-    model = fit(training_rows(stats, labels, key, label), **options)
+    """The rows of `docs`, with all their columns, that score at least `threshold`.
+
+    Texts are read twice: the labelled ones to fit, all to score. Labels of checked size are broadcast, so that only
+    labelled texts reach the first pass; with more labels than that, the first pass takes the statistics of all texts, and
+    only statistics are shuffled. Nulls, empty texts, repeated rows and tables without rows or labels: as in `classify`.
+    """
+    keyed = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t"))
+    given = written(labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key), F.col(label)), "labels")
+    known = written(given.select(F.col(key).alias("__l")).distinct(), "labelled")
+    if fits(known, 48):
+        keyed = keyed.join(F.broadcast(known), F.col("__k") == F.col("__l"), "left_semi")
+    stats = features(keyed, "__t", ("__k",))
+    model = fit(training_rows(stats, given, key, label), **options)
     return docs.where(text_scorer(model)(F.col(text)) >= threshold)
