@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import BROADCAST_BYTES, in_one_column, small, written
 
 #: The base patterns, in the order in which spans are listed.
 PATTERNS = {
@@ -30,8 +30,6 @@ _AT_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-#: A block of terms above this many bytes is split, and each part is broadcast in a pass of its own.
-BROADCAST_BYTES = 48 << 20
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 CONTEXT = T.StructType([T.StructField("entity", T.StringType()), T.StructField("context", T.StringType())])
@@ -290,16 +288,20 @@ def redact(text: str | None, spans: list, removed: list | None) -> str | None:
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """`docs` with personal data and disclosing terms of `text` replaced; all rows and columns stay.
 
-    Only rows that hold spans are joined with them, on the key and the text's hash; see `find_pii` for nulls and ties.
+    Only rows that hold spans meet them, on the key and the text's hash, and only they go through Python. Spans of checked
+    size are broadcast, so that texts stay where they are. See `find_pii` for nulls, ties and repeated rows; columns of
+    any other name come through untouched.
     """
-    columns = docs.columns
     found = find_pii(docs, key, text, **options).where(F.size("spans") > 0)
-    found = found.select(F.col(key).alias("__k"), F.col("text_hash").alias("__h"), F.col("spans").alias("__spans"), F.col("removed").alias("__removed")).dropDuplicates(["__k", "__h"])
-    joined = docs.join(found, docs[key].eqNullSafe(F.col("__k")) & (F.xxhash64(docs[text]) == F.col("__h")), "left")
+    found = written(found.select(F.col(key).alias("k"), F.col("text_hash").alias("h"), "spans", "removed").dropDuplicates(["k", "h"]), "redactions")
+    found = small(found, 64 + 32 * F.size("spans") + 8 * F.size("removed"))
+    rows = in_one_column(docs, id=F.col(key), value=F.col(text), hash=F.xxhash64(text))
+    same = F.col("id").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h"))
 
     @F.udf(T.StringType(), useArrow=True)
     def clean(value, spans, removed):
         return redact(value, spans, removed)
 
-    cleaned = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(clean(F.col(text), "__spans", "__removed"))
-    return joined.select(*(cleaned.alias(c) if c == text else F.col(c) for c in columns))
+    hit = rows.join(found, same).withColumn("clean", clean("value", "spans", "removed"))
+    hit = hit.select(*(F.col("clean").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
+    return rows.join(found, same, "left_anti").select("row.*").unionByName(hit)
