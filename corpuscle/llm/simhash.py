@@ -136,14 +136,20 @@ def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", radi
     )
 
 
-def class_survivors(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """For each class of near duplicates the document that stands for it: `key`, `text_hash` (XXH64 of its text).
+def class_decisions(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """What becomes of each document, told by `key` and `text_hash` (XXH64 of its text): `n` rows, `kept`.
 
-    It is that with the smallest key, among equal keys that with the least hash; a null key comes after all others. A
-    class is told by its fingerprints, not by a key: several may have the same key or none.
+    One document of each class of near duplicates is kept: that with the smallest key, among equal keys that with the
+    least hash; a null key comes after all others. A class is told by its fingerprints, not by a key: several may have the
+    same key or none. Repeated rows of a document are one entry with n > 1. Extra columns are ignored; an empty table
+    gives no rows.
     """
-    named = docs.select(key, F.xxhash64(text).alias("text_hash"), text)
-    signed = written(fingerprints(named, text, shingle, seed, (key, "text_hash")), "fingerprints")
-    least = signed.groupBy("fp").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "text_hash")).alias("low"))
-    lowest = near_duplicate_classes(signed, radius).join(least, "fp").groupBy("root_fp").agg(F.min("low").alias("low"))
-    return lowest.select(F.col("low.key").alias(key), "low.text_hash")
+    named = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    signed = fingerprints(named, "text", shingle, seed, ("key", "text_hash")).groupBy("key", "text_hash", "fp").agg(F.count(F.lit(1)).alias("n"))
+    signed = written(signed, "fingerprints")
+    least = signed.groupBy("fp").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")).alias("low"))
+    by_class = written(near_duplicate_classes(signed, radius).join(least, "fp"), "class-members")
+    lowest = by_class.groupBy("root_fp").agg(F.min("low").alias("best"))
+    best = by_class.join(lowest, "root_fp").select("fp", "best")
+    kept = F.col("key").eqNullSafe(F.col("best.key")) & (F.col("text_hash") == F.col("best.text_hash"))
+    return signed.join(best, "fp").select(F.col("key").alias(key), "text_hash", "n", kept.alias("kept"))

@@ -16,7 +16,7 @@ from .mixing import mix
 from .pii import sanitise
 from .quality import keep_good
 from .queries import MIX, table
-from .simhash import class_survivors
+from .simhash import class_decisions
 
 #: Bytes of a broadcast row of doc_id, hash and a mark, as estimated.
 _MARK_BYTES = 64
@@ -33,11 +33,17 @@ def without_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash class: that with the smallest doc_id, null after all others, ties to the least hash of
-    the text. Repeated rows of it, by doc_id and text, count as one."""
-    kept = written(class_survivors(docs), "survivors").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__kept"))
-    hashed = docs.withColumn("__hash", F.xxhash64("text"))
-    own = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__kept")), "left_semi")
-    return own.dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    the text. Repeated rows of it, by doc_id and text, count as one; null and empty texts are one class."""
+    decided = class_decisions(docs).where(~F.col("kept") | (F.col("n") > 1))
+    marks = written(decided.select(F.col("doc_id").alias("key"), F.col("text_hash").alias("hash"), F.col("kept").alias("again")), "marks")
+    rows = in_one_column(docs, id=F.col("doc_id"), text_hash=F.xxhash64("text"))
+    same = F.col("id").eqNullSafe(F.col("key")) & (F.col("text_hash") == F.col("hash"))
+    rest = rows.join(small(marks, _MARK_BYTES), same, "left_anti").select("row.*")
+    again = written(marks.where("again"), "repeated")
+    if again.isEmpty():
+        return rest
+    once = rows.join(small(again, _MARK_BYTES), same, "left_semi").dropDuplicates(["id", "text_hash"])
+    return rest.unionByName(once.select("row.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
