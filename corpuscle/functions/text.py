@@ -45,6 +45,16 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text_of(text), r"(?U)^\s+|\s+$", "")
 
 
+def blank(text: Column) -> Column:
+    """Without any character that is not white space."""
+    return ~text_of(text).rlike(r"(?U)\S")
+
+
+def passage(text: Column) -> Column:
+    """a text as an encoder wants it."""
+    return F.concat(F.lit(fixed.PASSAGE), text_of(text))
+
+
 def sentences(text: Column) -> Column:
     """split after a full stop, exclamation or question mark that white space follows."""
     return _split(strip(text), r"(?<=[.!?])(?U:\s+)")
@@ -101,6 +111,11 @@ def unescape(text):
     return text.map(lambda t: html.unescape(t) if t and "&" in t else t)
 
 
+def normalised_post(text: Column) -> Column:
+    """character references decoded, then `normalised`."""
+    return normalised(unescape(text_of(text)))
+
+
 def pseudonym(name: Column, salt: str) -> Column:
     """16 hex digits of SHA-256 over salt, NUL and name."""
     return F.substring(F.sha2(F.concat(F.lit(salt), F.char(F.lit(0)), name).cast("binary"), 256), 1, 16)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as X
-from .lexical import grams_of
 
 FLAGS = ("flag_ai_self_ref", "flag_disclaimer", "flag_refusal", "flag_hedge_heavy_opener", "flag_repetition_loop", "flag_code_contam", "flag_truncation", "flag_non_english")
 
@@ -19,8 +18,10 @@ def keep_first(texts: DataFrame) -> DataFrame:
 
 
 def repetition(texts: DataFrame, n: int = 3, least: int = 8, share: float = 0.015) -> DataFrame:
-    """F8: count of the most frequent n-gram of each text, and whether it is a loop (at least `least` and `share` of all)."""
-    grams = grams_of(texts, n).groupBy("model_dir", "topic", "text_ord", "token").agg(F.count(F.lit(1)).alias("c"))
+    """F8: count of the most frequent n-gram of each text (of ASCII words with apostrophes, T2), and whether it is a loop (at least `least` and `share` of all)."""
+    rows = texts.select("model_dir", "topic", "text_ord", X.ascii_words(F.lower(X.text_of(F.col("text")))).alias("w"))
+    rows = rows.select("*", F.posexplode("w").alias("pos", "word")).where(F.col("pos") + n <= F.size("w"))
+    grams = rows.groupBy("model_dir", "topic", "text_ord", F.concat_ws(" ", *(F.get("w", F.col("pos") + k) for k in range(n))).alias("token")).agg(F.count(F.lit(1)).alias("c"))
     most = grams.groupBy("model_dir", "topic", "text_ord").agg(F.max("c").alias("top"), F.sum("c").alias("grams"))
     found = texts.select("model_dir", "topic", "text_ord").join(most, ["model_dir", "topic", "text_ord"], "left").na.fill(0, ["top", "grams"])
     long_enough = F.col("grams") >= 4 - n + 1  # texts of fewer than 4 tokens don't count

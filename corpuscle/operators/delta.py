@@ -6,7 +6,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.readers import written
 from .lexical import counts, ranked, tokens_of
+from .order import stream
+
+
+def per_text(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """Relative frequency of each of the words (a short list) in each text that has it: model_dir, topic, text_ord, token, x."""
+    rows = texts.select("model_dir", "topic", "text_ord", X.tokens(F.col("text")).alias("w")).select("model_dir", "topic", "text_ord", F.size("w").alias("len"), F.explode("w").alias("token"))
+    counted = rows.join(F.broadcast(words), "token").groupBy("model_dir", "topic", "text_ord", "len", "token").agg(F.count(F.lit(1)).alias("c"))
+    return counted.select("model_dir", "topic", "text_ord", "token", (F.col("c") / F.col("len")).alias("x"))
+
+
+def features_of(texts: DataFrame, features: int = 100) -> DataFrame:
+    """The most frequent words of all corpora, ties to the first seen."""
+    return counts(tokens_of(texts)).orderBy(F.desc("c"), "first").limit(features).select("token")
+
+
+def reference(x: DataFrame, total: DataFrame) -> DataFrame:
+    """Mean and sample deviation of each word over all texts (1e-12 for 0): token, mu, sigma. total: one row with n, their number."""
+    over = x.groupBy("token").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")).crossJoin(F.broadcast(total))  # one row of totals
+    mean = F.col("s") / F.col("n")
+    sigma = F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("n") * mean * mean) / (F.col("n") - 1)))
+    return over.select("token", mean.alias("mu"), F.when(sigma > 0, sigma).otherwise(1e-12).alias("sigma"))
 
 
 def centroids(texts: DataFrame, features: int = 100) -> DataFrame:
@@ -15,61 +37,59 @@ def centroids(texts: DataFrame, features: int = 100) -> DataFrame:
     Per text the feature is its relative frequency (0 in an empty text); mean and deviation (sample) are over all texts.
     The mean of z-scores is linear in the texts, so sums by corpus and word suffice, and zeros need no row.
     """
-    rows = texts.select("model_dir", "topic", "text_ord", X.tokens(F.col("text")).alias("w"))
-    sizes = rows.groupBy("model_dir").agg(F.count(F.lit(1)).alias("n_m"))
-    total = sizes.agg(F.sum("n_m").cast("double").alias("n"))
-    words = counts(tokens_of(texts)).orderBy(F.desc("c"), "first").limit(features).select("token")
-    per_text = rows.select("model_dir", "text_ord", F.size("w").alias("len"), F.explode("w").alias("token")).join(F.broadcast(words), "token")
-    x = per_text.groupBy("model_dir", "text_ord", "len", "token").agg((F.count(F.lit(1)) / F.col("len")).alias("x"))
-    sums = x.groupBy("model_dir", "token").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
-    over = sums.groupBy("token").agg(F.sum("s").alias("s"), F.sum("q").alias("q")).crossJoin(F.broadcast(total))  # one row of totals
-    mean = F.col("s") / F.col("n")
-    sigma = F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("n") * mean * mean) / (F.col("n") - 1)))
-    over = over.select("token", mean.alias("mu"), F.when(sigma > 0, sigma).otherwise(1e-12).alias("sigma"))
+    sizes = texts.groupBy("model_dir").agg(F.count(F.lit(1)).alias("n_m"))
+    x = per_text(texts, features_of(texts, features))
+    sums = x.groupBy("model_dir", "token").agg(F.sum("x").alias("s"))
+    over = reference(x, sizes.agg(F.sum("n_m").cast("double").alias("n")))
     grid = F.broadcast(sizes).join(F.broadcast(over))  # corpora by features: both lists are short
-    return grid.join(sums.select("model_dir", "token", "s"), ["model_dir", "token"], "left").select(
-        "model_dir", "token", ((F.coalesce("s", F.lit(0.0)) / F.col("n_m") - F.col("mu")) / F.col("sigma")).alias("z")
-    )
+    return grid.join(sums, ["model_dir", "token"], "left").select("model_dir", "token", ((F.coalesce("s", F.lit(0.0)) / F.col("n_m") - F.col("mu")) / F.col("sigma")).alias("z"))
 
 
-def between(z: DataFrame) -> DataFrame:
+def between(z: DataFrame, places: int = 6) -> DataFrame:
     """Burrows (mean absolute difference) and cosine (A11: 1 - cosine, 0 for a zero vector) distances of centroids."""
     a, b = z.select(F.col("model_dir").alias("model_a"), "token", F.col("z").alias("za")), z.select(F.col("model_dir").alias("model_b"), "token", F.col("z").alias("zb"))
     both = a.join(b, "token").where("model_a < model_b").groupBy("model_a", "model_b").agg(
         F.avg(F.abs(F.col("za") - F.col("zb"))).alias("d"), F.sum(F.col("za") * F.col("zb")).alias("ab"), F.sum(F.col("za") ** 2).alias("aa"), F.sum(F.col("zb") ** 2).alias("bb")
     )
     cosine = F.when((F.col("aa") > 0) & (F.col("bb") > 0), 1 - F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).otherwise(0.0)
-    return both.select("model_a", "model_b", F.round("d", 6).alias("burrows"), F.round(cosine, 6).alias("cosine"))
+    return both.select("model_a", "model_b", F.round("d", places).alias("burrows"), F.round(cosine, places).alias("cosine"))
 
 
-def chunked(texts: DataFrame, features: int = 100, chunks: int = 20) -> DataFrame:
+def chunked(texts: DataFrame, features: int = 100, chunks: int = 20, pairs: DataFrame | None = None) -> DataFrame:
     """Delta of each pair over consecutive chunks of both token streams, with the pair's own most frequent words.
 
-    A stream of N tokens has `chunks` chunks of N / chunks tokens (rounded down); what remains is dropped. z-scores are
-    over both sides' chunks (sample deviation). Words are those with the largest count in both streams together, ties to
-    the first seen in model_a, then in model_b.
+    A stream of N tokens has `chunks` chunks of N / chunks tokens (rounded down, one at least); what remains is dropped.
+    z-scores are over both sides' chunks (sample deviation). Words are those with the largest count in both streams
+    together, ties to the first seen in model_a, then in model_b. pairs: (model_a, model_b), all by default.
+
+    A pair's words have a count of at least the larger of both sides' k-th largest, so at least half of that on one side:
+    only such words are looked at, never a pair's whole vocabulary.
     """
-    rows = texts.select("model_dir", "topic", "text_ord", X.tokens(F.col("text")).alias("w"))
-    order = Window.partitionBy("model_dir").orderBy("topic", "text_ord")
-    offset = F.coalesce(F.sum(F.size("w")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = rows.select("model_dir", "topic", "text_ord", offset.alias("offset"), F.sum(F.size("w")).over(Window.partitionBy("model_dir")).alias("n"))
-    stream = rows.join(ends, ["model_dir", "topic", "text_ord"]).select("model_dir", "n", "offset", F.posexplode("w").alias("pos", "token"))
-    stream = stream.select("model_dir", "token", (F.col("offset") + F.col("pos")).alias("i"), F.floor(F.col("n") / chunks).alias("size"))
-    chunk = F.when(F.col("size") > 0, F.floor(F.col("i") / F.col("size"))).otherwise(F.lit(chunks))
-    per_chunk = stream.groupBy("model_dir", "token", "size", chunk.alias("chunk")).agg(F.count(F.lit(1)).alias("c"), F.min("i").alias("i"))
-    words = per_chunk.groupBy("model_dir", "token").agg(F.sum("c").alias("c"), F.min("i").alias("i"))
-    names = words.select("model_dir").distinct()
-    pairs = F.broadcast(names.select(F.col("model_dir").alias("model_a")).join(names.select(F.col("model_dir").alias("model_b")), F.col("model_a") < F.col("model_b")))
-    side = lambda m, k: words.join(pairs, F.col("model_dir") == F.col(m)).select("model_a", "model_b", "token", "c", F.struct(F.lit(k).alias("side"), "i").alias("first"))
-    both = side("model_a", 0).unionByName(side("model_b", 1)).groupBy("model_a", "model_b", "token").agg(F.sum("c").alias("c"), F.min("first").alias("first"))
-    chosen = ranked(both, features, "model_a", "model_b").select("model_a", "model_b", "token")
-    kept = per_chunk.where(F.col("chunk") < chunks).select("model_dir", "token", (F.col("c") / F.col("size")).alias("x"))
-    sums = kept.groupBy("model_dir", "token").agg(F.sum("x").alias("s"), F.sum(F.col("x") ** 2).alias("q"))
-    a = sums.select(F.col("model_dir").alias("model_a"), "token", F.col("s").alias("sa"), F.col("q").alias("qa"))
-    b = sums.select(F.col("model_dir").alias("model_b"), "token", F.col("s").alias("sb"), F.col("q").alias("qb"))
-    joined = chosen.join(a, ["model_a", "token"], "left").join(b, ["model_b", "token"], "left").na.fill(0.0, ["sa", "qa", "sb", "qb"])
-    n = 2 * chunks
-    mean = (F.col("sa") + F.col("sb")) / n
-    sigma = F.sqrt(F.greatest(F.lit(0.0), (F.col("qa") + F.col("qb") - n * mean * mean) / (n - 1)))
-    gap = F.abs(F.col("sa") - F.col("sb")) / chunks / F.when(sigma > 0, sigma).otherwise(1e-12)
-    return joined.groupBy("model_a", "model_b").agg(F.round(F.avg(gap), 6).alias("burrows_chunked"))
+    size = F.greatest(F.floor(F.col("n") / chunks), F.lit(1))
+    rows = stream(texts).select("model_dir", "token", "i", "n", size.alias("size"), F.floor(F.col("i") / size).alias("chunk"))
+    per_chunk = rows.groupBy("model_dir", "token", "n", "size", "chunk").agg(F.count(F.lit(1)).alias("c"), F.min("i").alias("i"))
+    x = F.when(F.col("chunk") < chunks, F.col("c") / F.col("size")).otherwise(0.0)
+    held = F.least(F.ceil(F.col("n") / F.col("size")), F.lit(chunks)).alias("n_chunks")
+    words = per_chunk.groupBy("model_dir", "token", held).agg(F.sum("c").alias("c"), F.min("i").alias("i"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    words = written(words, "words")  # a row per corpus and word, read by each side of the pairs
+    held = words.groupBy("model_dir").agg(F.first("n_chunks").alias("n_chunks"))
+    kth = Window.partitionBy("model_dir").orderBy(F.desc("c"))
+    least = words.withColumn("r", F.row_number().over(kth)).where(F.col("r") <= features).groupBy("model_dir").agg(F.when(F.count(F.lit(1)) == features, F.min("c")).otherwise(0).alias("least"))
+    roster = held.join(least, "model_dir")
+    side = lambda k: roster.select(F.col("model_dir").alias(f"model_{k}"), F.col("least").alias(f"l_{k}"), F.col("n_chunks").alias(f"n_{k}"))
+    if pairs is None:
+        both = side("a").join(side("b"), F.col("model_a") < F.col("model_b"))
+    else:
+        both = pairs.select("model_a", "model_b").join(side("a"), "model_a").join(side("b"), "model_b")
+    both = both.select("model_a", "model_b", "n_a", "n_b", (F.greatest("l_a", "l_b") / 2).alias("bound"))
+    likely = lambda k: words.join(F.broadcast(both), F.col("model_dir") == F.col(f"model_{k}")).where(F.col("c") >= F.col("bound")).select("model_a", "model_b", "n_a", "n_b", "token")
+    wanted = likely("a").unionByName(likely("b")).distinct()
+    own = lambda k: words.select(F.col("model_dir").alias(f"model_{k}"), "token", *(F.col(c).alias(f"{c}_{k}") for c in ("c", "i", "s", "q")))
+    joined = wanted.join(own("a"), ["model_a", "token"], "left").join(own("b"), ["model_b", "token"], "left").na.fill(0, ["c_a", "c_b", "s_a", "s_b", "q_a", "q_b"])
+    joined = joined.withColumn("c", F.col("c_a") + F.col("c_b")).withColumn("first", F.when(F.col("i_a").isNotNull(), F.struct(F.lit(0).alias("side"), F.col("i_a").alias("i"))).otherwise(F.struct(F.lit(1).alias("side"), F.col("i_b").alias("i"))))
+    chosen = ranked(joined, features, "model_a", "model_b")
+    n = F.col("n_a") + F.col("n_b")
+    mean = (F.col("s_a") + F.col("s_b")) / n
+    sigma = F.sqrt(F.greatest(F.lit(0.0), (F.col("q_a") + F.col("q_b") - n * mean * mean) / (n - 1)))
+    gap = F.abs(F.col("s_a") / F.col("n_a") - F.col("s_b") / F.col("n_b")) / F.when(sigma > 0, sigma).otherwise(1e-12)
+    return chosen.groupBy("model_a", "model_b").agg(F.round(F.avg(gap), 6).alias("burrows_chunked"))

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .order import stream
+
+#: Tokens of a stretch in which previous occurrences are looked for.
+STRETCH = 1 << 20
 
 
 def tokens_of(texts: DataFrame) -> DataFrame:
@@ -69,19 +73,20 @@ def top(tokens: DataFrame, k: int, *by: str) -> DataFrame:
 def mattr(texts: DataFrame, window: int = 500) -> DataFrame:
     """A2: mean share of types over all windows of the corpus' token stream; fewer tokens than a window: TTR.
 
-    Closed form: a token counts in the windows that hold it but not its previous occurrence. Positions in the stream come
-    from sums of text lengths, so only the row per text is ordered in one place, never the tokens.
+    Closed form: a token counts in the windows that hold it but not its previous occurrence. Occurrences are looked for in
+    stretches of the stream, so that a frequent token is spread over many tasks; each stretch's first occurrence then meets
+    the last one of the stretch before that has the token. A stretch that is longer than a window can't hide one that matters.
     """
-    rows = texts.select("model_dir", "topic", "text_ord", X.tokens(F.col("text")).alias("w"))
-    order = Window.partitionBy("model_dir").orderBy("topic", "text_ord")
-    offset = F.coalesce(F.sum(F.size("w")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = rows.select("model_dir", "topic", "text_ord", offset.alias("offset"), F.sum(F.size("w")).over(Window.partitionBy("model_dir")).alias("n"))
-    stream = rows.join(ends, ["model_dir", "topic", "text_ord"]).select("model_dir", "n", "offset", F.posexplode("w").alias("pos", "token"))
-    stream = stream.select("model_dir", "n", "token", (F.col("offset") + F.col("pos") + 1).alias("i"))
-    stream = stream.withColumn("p", F.coalesce(F.lag("i").over(Window.partitionBy("model_dir", "token").orderBy("i")), F.lit(0)))
+    rows = stream(texts).select("model_dir", "token", (F.col("i") + 1).alias("i"), "n")
+    rows = rows.withColumn("part", F.floor(F.col("i") / F.lit(max(STRETCH, window))))
+    rows = rows.withColumn("p", F.lag("i").over(Window.partitionBy("model_dir", "part", "token").orderBy("i")))
     w = F.least(F.lit(window), F.col("n"))
-    held = F.greatest(F.lit(0), F.least(F.col("i"), F.col("n") - w + 1) - F.greatest(F.col("p") + 1, F.col("i") - w + 1, F.lit(1)) + 1)
-    return stream.groupBy("model_dir", "n").agg(F.sum(held).alias("s")).select("model_dir", F.col("n").cast("long").alias("n_tokens"), F.round(F.col("s") / (w * (F.col("n") - w + 1)), 6).alias("mattr"))
+    held = lambda p: F.greatest(F.lit(0), F.least(F.col("i"), F.col("n") - w + 1) - F.greatest(p + 1, F.col("i") - w + 1, F.lit(1)) + 1)
+    inner = F.sum(F.when(F.col("p").isNotNull(), held(F.col("p"))))
+    edges = rows.groupBy("model_dir", "n", "part", "token").agg(F.coalesce(inner, F.lit(0)).alias("s"), F.min("i").alias("i"), F.max("i").alias("last"))
+    before = F.coalesce(F.lag("last").over(Window.partitionBy("model_dir", "token").orderBy("part")), F.lit(0))
+    total = edges.withColumn("s", F.col("s") + held(before)).groupBy("model_dir", "n").agg(F.sum("s").alias("s"))
+    return total.select("model_dir", F.col("n").cast("long").alias("n_tokens"), F.round(F.col("s") / (w * (F.col("n") - w + 1)), 6).alias("mattr"))
 
 
 def zipf(texts: DataFrame, k: int = 1000) -> DataFrame:

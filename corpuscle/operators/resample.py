@@ -1,12 +1,16 @@
-"""Resampling with md5 draws: bootstrap of the type-token ratio, split halves of corpora. Draws are weights per text; tokens are never copied."""
+"""Resampling with md5 draws: bootstrap of the type-token ratio, split halves of corpora and authors. Draws belong to texts, as bits
+or sides; tokens are never copied per repetition."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .lexical import tokens_of
+from . import delta
+from .lexical import scoped, tokens_of
 
 
 def bootstrap_weights(texts: DataFrame, reps: int, seed: str) -> DataFrame:
@@ -19,12 +23,47 @@ def bootstrap_weights(texts: DataFrame, reps: int, seed: str) -> DataFrame:
     return weights.join(rows.select("model_dir", "i", "text_ord"), ["model_dir", "i"]).select("rep", "model_dir", "text_ord", "w")
 
 
-def bootstrap_ttr(texts: DataFrame, reps: int = 20, seed: str = "boot") -> DataFrame:
-    """Mean, deviation and percentiles of the type-token ratio over bootstrap samples, and the point estimate."""
+def sample_share(texts: DataFrame, reps: int, seed: str, share: float = 0.8) -> DataFrame:
+    """R1's other form: `share` of each corpus' texts, one at least, without replacement: rep, model_dir, text_ord, w (1)."""
+    rep = texts.select("model_dir", "text_ord", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    own = Window.partitionBy("rep", "model_dir")
+    rep = rep.withColumn("r", F.row_number().over(own.orderBy(X.draw(seed, F.col("rep"), F.col("model_dir"), F.col("text_ord")), "text_ord"))).withColumn("n", F.count(F.lit(1)).over(own))
+    return rep.where(F.col("r") <= F.greatest(F.lit(1), F.rint(F.col("n") * share))).select("rep", "model_dir", "text_ord", F.lit(1).cast("long").alias("w"))
+
+
+def bootstrap_ttr(texts: DataFrame, reps: int = 1000, seed: str = "boot", weights: DataFrame | None = None) -> DataFrame:
+    """Mean, deviation and percentiles of the type-token ratio over bootstrap samples, and the point estimate.
+
+    A text carries one bit per sample, whether it is drawn. A type is in a sample if a text with it is: its bits are those
+    of its texts, or-ed before the shuffle. Tokens of a sample are sums of text lengths.
+    """
+    weights = bootstrap_weights(texts, reps, seed) if weights is None else weights
+    words = -(-reps // 64)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("rep") % 64)
+    masks = weights.groupBy("model_dir", "text_ord").agg(*(F.bit_or(F.when(F.floor(F.col("rep") / 64) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(words)))
     per_text = tokens_of(texts).groupBy("model_dir", "text_ord", "token").agg(F.count(F.lit(1)).alias("c"))
-    drawn = per_text.join(bootstrap_weights(texts, reps, seed), ["model_dir", "text_ord"]).groupBy("rep", "model_dir", "token").agg(F.sum(F.col("c") * F.col("w")).alias("c"))
-    values = drawn.groupBy("rep", "model_dir").agg((F.count(F.lit(1)) / F.sum("c")).alias("v"))
-    point = per_text.groupBy("model_dir", "token").agg(F.sum("c").alias("c")).groupBy("model_dir").agg(F.round(F.count(F.lit(1)) / F.sum("c"), 6).alias("point"))
+    types = per_text.join(masks, ["model_dir", "text_ord"], "left").groupBy("model_dir", "token").agg(F.sum("c").alias("c"), *(F.coalesce(F.bit_or(f"m{k}"), F.lit(0).cast("long")).alias(f"m{k}") for k in range(words)))
+
+    def counted(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for model, part in batch.groupby("model_dir", dropna=False):
+                held = part[[f"m{k}" for k in range(words)]].to_numpy(np.int64)
+                held = np.ascontiguousarray(held, "<i8").view(np.uint8)
+                for at in range(0, len(held), 4096):
+                    bits = np.unpackbits(held[at : at + 4096], axis=1, bitorder="little")[:, :reps]
+                    sums[model] = sums.get(model, 0) + bits.sum(0, dtype=np.int64)
+        for model, v in sums.items():
+            yield pd.DataFrame({"model_dir": model, "rep": np.arange(reps), "v": v})
+
+    found = types.select("model_dir", *(f"m{k}" for k in range(words))).mapInPandas(counted, "model_dir string, rep int, v long").groupBy("model_dir", "rep").agg(F.sum("v").alias("v"))
+    sizes = texts.select("model_dir", "text_ord", F.size(X.tokens(F.col("text"))).alias("size"))
+    drawn = weights.join(sizes, ["model_dir", "text_ord"]).groupBy("model_dir", "rep").agg(F.sum(F.col("w") * F.col("size")).alias("n"))
+    values = found.join(drawn, ["model_dir", "rep"]).select("rep", "model_dir", (F.col("v") / F.nullif("n", F.lit(0))).alias("v"))
+    point = types.groupBy("model_dir").agg(F.round(F.count(F.lit(1)) / F.sum("c"), 6).alias("point"))
     return summarise(values, "model_dir").join(point, "model_dir")
 
 
@@ -35,30 +74,133 @@ def summarise(values: DataFrame, *by: str) -> DataFrame:
     return table.select(*by, "n", "mean", "std", *(F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("p2_5", "p50", "p97_5"))))
 
 
-def halves(texts: DataFrame, reps: int, seed: str, most: int = 1000) -> DataFrame:
-    """Split of each corpus' texts, for each repetition, into halves 0 and 1 of up to `most` / 2 texts each by md5 order."""
-    rep = texts.select("model_dir", "text_ord", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    own = Window.partitionBy("rep", "model_dir")
-    r = F.row_number().over(own.orderBy(X.draw(seed, F.col("rep"), F.col("model_dir"), F.col("text_ord")), "text_ord"))
-    rep = rep.withColumn("r", r).withColumn("half", F.floor(F.least(F.count(F.lit(1)).over(own), F.lit(most)) / 2))
-    return rep.where((F.col("half") >= 2) & (F.col("r") <= 2 * F.col("half"))).select("rep", "model_dir", "text_ord", F.when(F.col("r") <= F.col("half"), 0).otherwise(1).alias("side"))
-
-
-def split_half_distance(texts: DataFrame, reps: int = 10, seed: str = "half") -> DataFrame:
-    """JSD of the word distributions of both halves, by corpus: mean, deviation, percentiles."""
-    per_text = tokens_of(texts).groupBy("model_dir", "text_ord", "token").agg(F.count(F.lit(1)).alias("c"))
-    sides = per_text.join(halves(texts, reps, seed), ["model_dir", "text_ord"])
-    xy = sides.groupBy("rep", "model_dir", "token").agg(F.sum(F.when(F.col("side") == 0, F.col("c")).otherwise(0)).alias("x"), F.sum(F.when(F.col("side") == 1, F.col("c")).otherwise(0)).alias("y"))
-    over = Window.partitionBy("rep", "model_dir")
-    p, q = F.col("x") / F.sum("x").over(over), F.col("y") / F.sum("y").over(over)
-    xy = xy.select("rep", "model_dir", p.alias("p"), q.alias("q"))
-    m = (F.col("p") + F.col("q")) / 2
-    part = lambda c: F.when(F.col(c) > 0, 0.5 * F.col(c) * F.log2(F.col(c) / m)).otherwise(0.0)
-    return summarise(xy.groupBy("rep", "model_dir").agg(F.sum(part("p") + part("q")).alias("v")), "model_dir")
+def halves(texts: DataFrame, reps: int, seed: str, by: tuple[str, ...] = ("model_dir",), most: int = 1000, least: int = 4) -> DataFrame:
+    """The texts of each group in two halves (side 0 and 1) of up to `most` / 2 texts each, for each repetition by an md5
+    draw: rep, *by, model_dir, text_ord, r (place in the draw), half, side. Groups of fewer than `least` texts have none.
+
+    Only the first `most` of a group by draw are ranked further: a group's other texts don't reach its task.
+    """
+    keep = list(dict.fromkeys([*by, "model_dir", "topic", "text_ord"]))
+    sizes = texts.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    drawn = X.draw(seed, F.col("rep"), *(F.col(b) for b in by), F.col("text_ord"))
+    rep = texts.select(*keep, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).withColumn("draw", drawn)
+    if most < 1 << 20:
+        rep = rep.withColumn("r", F.row_number().over(Window.partitionBy("rep", *by).orderBy("draw", "text_ord"))).where(F.col("r") <= most)
+    else:  # places by ranges of the draw, so that no task ranks a whole group
+        rep = rep.withColumn("part", F.shiftright("draw", 20))
+        held = rep.groupBy("rep", *by, "part").agg(F.count(F.lit(1)).alias("c"))
+        upto = Window.partitionBy("rep", *by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        held = held.withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0))).drop("c")
+        inside = F.row_number().over(Window.partitionBy("rep", *by, "part").orderBy("draw", "text_ord"))
+        rep = rep.withColumn("r", inside).join(held, ["rep", *by, "part"]).withColumn("r", F.col("r") + F.col("before")).drop("part", "before")
+    rep = rep.join(F.broadcast(sizes), list(by))  # a row per group
+    rep = rep.withColumn("half", F.floor(F.least(F.col("n"), F.lit(most)) / 2))
+    return rep.where(F.col("r") <= 2 * F.col("half")).select("rep", *keep, "r", "half", F.when(F.col("r") <= F.col("half"), 0).otherwise(1).alias("side"))
+
+
+def vectors(texts: DataFrame, features: int = 100) -> DataFrame:
+    """Each text's z-scores for the most frequent words of all corpora, on one reference over all texts: v (array)."""
+    x = delta.per_text(texts, delta.features_of(texts, features))
+    over = delta.reference(x, texts.agg(F.count(F.lit(1)).cast("double").alias("n"))).orderBy("token").limit(features)
+    listed = over.agg(F.array_sort(F.collect_list(F.struct("token", "mu", "sigma"))).alias("words"))  # a row of `features` words
+    held = x.groupBy("model_dir", "topic", "text_ord").agg(F.map_from_entries(F.collect_list(F.struct("token", "x"))).alias("x"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("model_dir", "topic", "text_ord")]
+    rows = texts.select("model_dir", "topic", "text_ord").alias("a").join(held.alias("b"), same, "left").select("a.*", "b.x").crossJoin(F.broadcast(listed))
+    z = F.transform("words", lambda w: (F.coalesce(F.element_at("x", w["token"]), F.lit(0.0)) - w["mu"]) / w["sigma"])
+    return rows.select("model_dir", "topic", "text_ord", z.alias("v"))
+
+
+#: Repetitions whose halves meet the texts' vectors at once: a group holds at most so many times `most` vectors.
+BLOCK = 25
+
+
+def _halved(split: DataFrame, v: DataFrame, *by: str) -> DataFrame:
+    """Burrows' and cosine delta of the two halves of each group and repetition: *by, rep, burrows, cosine.
+
+    A text's vector goes to a block of repetitions once, with its side in each. A group is bounded by `halves`' cap.
+    """
+    key = ["model_dir", "topic", "text_ord"]
+    marks = split.groupBy(*dict.fromkeys([*by, *key]), F.floor(F.col("rep") / BLOCK).alias("block")).agg(F.collect_list(F.struct("rep", "side")).alias("sides"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
+    rows = marks.alias("a").join(v.alias("b"), same).select(*(F.col(f"a.{c}") for c in by), "a.block", "a.sides", "b.v")
+    out = ", ".join(f"{c} string" for c in by) + ", rep int, burrows double, cosine double"
+
+    def measured(part):
+        import numpy as np
+        import pandas as pd
+
+        x = np.stack(part.v.to_numpy())
+        side = np.full((len(part), BLOCK), -1, np.int8)
+        start = int(part.block.iloc[0]) * BLOCK
+        for k, sides in enumerate(part.sides):
+            for s in sides:
+                side[k, s["rep"] - start] = s["side"]
+        have = np.flatnonzero((side >= 0).any(0))
+        a, b = (((side[:, have] == k).T.astype(float) @ x) / (side[:, have] == k).sum(0)[:, None] for k in (0, 1))
+        norm = np.sqrt((a * a).sum(1) * (b * b).sum(1))
+        cosine = np.where(norm > 0, 1 - (a * b).sum(1) / np.where(norm > 0, norm, 1), 0.0)
+        return pd.DataFrame({**{c: part[c].iloc[0] for c in by}, "rep": have + start, "burrows": np.abs(a - b).mean(1), "cosine": cosine})
+
+    return rows.groupBy(*by, "block").applyInPandas(measured, out)
+
+
+def within_corpus(texts: DataFrame, reps: int = 100, most: int = 1000, seed: str = "half", bridge: tuple[str, str] = ("", ""), author: str | None = None) -> DataFrame:
+    """model_dir, scope, kind, rep, burrows, cosine. within_split: both halves of `reps` splits of each corpus (by topic
+    and pooled) of 4 texts and more, of up to `most` texts; within_author: one split of each author of two texts and more
+    (of up to 100,000); between_pair and between_bridge: whole corpora, pooled (model_dir "a|b"). Word frequencies are on
+    one reference over all corpora and topics."""
+    v = vectors(texts)
+    key = ["model_dir", "topic", "text_ord"]
+    columns = ["model_dir", "scope", "kind", "rep", "burrows", "cosine"]
+    corpora = scoped(texts.select(*key)).where(F.col("scope").isNotNull())
+    out = _halved(halves(corpora, reps, seed, ("model_dir", "scope"), most), v, "model_dir", "scope").withColumn("kind", F.lit("within_split")).select(*columns)
+    if author:
+        own = scoped(texts.select(*key, F.col(author).cast("string").alias("author"))).where(F.col("scope").isNotNull())
+        each = _halved(halves(own, 1, seed, ("model_dir", "scope", "author"), 100_000, 2), v, "model_dir", "scope", "author")
+        out = out.unionByName(each.select("model_dir", "scope", F.lit("within_author").alias("kind"), F.lit(-1).alias("rep"), "burrows", "cosine"))
+    pairs = delta.between(delta.centroids(texts), 12)
+    kind = F.when((F.least("model_a", "model_b") == min(bridge)) & (F.greatest("model_a", "model_b") == max(bridge)), "between_bridge").otherwise("between_pair")
+    return out.unionByName(pairs.select(F.concat("model_a", F.lit("|"), "model_b").alias("model_dir"), F.lit("pooled").alias("scope"), kind.alias("kind"), F.lit(-1).alias("rep"), "burrows", "cosine"))
+
+
+def variation(distances: DataFrame) -> DataFrame:
+    """By corpus, scope, kind and metric: n, least, quartiles (linear), most, mean and sample deviation (0 for one)."""
+    rows = distances.select("model_dir", "scope", "kind", F.expr("stack(2, 'burrows', burrows, 'cosine', cosine) AS (metric, v)"))
+    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    table = rows.groupBy("model_dir", "scope", "kind", "metric").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("std"))
+    r = lambda c, n: F.round(c, 5).alias(n)
+    return table.select("model_dir", "scope", "kind", "metric", "n", r("min", "min"), *(r(F.col("q")[k], n) for k, n in enumerate(("p25", "median", "p75"))), r("max", "max"), r("mean", "mean"), r("std", "std"))
+
+
+def author_deltas(texts: DataFrame, author: str, splits: int = 3, most_pairs: int = 300, pool_splits: int = 5, seed: str = "author") -> DataFrame:
+    """Chunked deltas (A9) of both halves of each author of 4 texts and more (`splits` times), of pairs of authors
+    (`most_pairs` of them by an md5 draw; 0: all) and of both halves of the whole pool: kind, group_a, group_b, split, burrows,
+    n_docs_a, n_docs_b. In a half, texts stand in the order of the draw."""
+    rows = texts.where(~X.blank(F.col("text"))).select(F.col(author).cast("string").alias("who"), "topic", "model_dir", "text_ord", "text")
+    name = lambda kind, who, rep, side: F.concat_ws("\u0001", F.lit(kind), who, rep.cast("string"), side.cast("string"))
+    own = halves(rows, splits, seed, ("who",), 1 << 30).select(name("within_author", F.col("who"), F.col("rep"), F.col("side")).alias("stream"), F.col("r").cast("long").alias("r"), "model_dir", "topic", "text_ord")
+    pool = halves(rows.withColumn("all", F.lit("ALL")), pool_splits, f"{seed}-pool", ("all",), 1 << 30).select(name("within_pool", F.col("all"), F.col("rep"), F.col("side")).alias("stream"), F.col("r").cast("long").alias("r"), "model_dir", "topic", "text_ord")
+    same = ["model_dir", "topic", "text_ord"]
+    drawn = own.unionByName(pool).join(rows.select(*same, "text"), same).select(F.col("stream").alias("model_dir"), F.lit("").alias("topic"), F.col("r").alias("text_ord"), "text")
+    whole = rows.select(name("cross_author", F.col("who"), F.lit(-1), F.lit(0)).alias("model_dir"), "topic", "text_ord", "text")
+    streams = drawn.unionByName(whole)
+    names = streams.groupBy("model_dir").agg(F.count(F.lit(1)).alias("n"))
+    part = lambda c, k: F.split(c, "\u0001")[k]
+    first = names.where(part(F.col("model_dir"), 3) == "0")
+    splits_ = first.where(~F.col("model_dir").startswith("cross_author")).select(F.col("model_dir").alias("model_a"), F.regexp_replace("model_dir", "0$", "1").alias("model_b"))
+    who = first.where(F.col("model_dir").startswith("cross_author")).select("model_dir")
+    cross = who.select(F.col("model_dir").alias("model_a")).join(who.select(F.col("model_dir").alias("model_b")), F.col("model_a") < F.col("model_b"))  # authors are a roster
+    if most_pairs:
+        cross = cross.orderBy(X.draw(seed, part(F.col("model_a"), 1), part(F.col("model_b"), 1)), "model_a", "model_b").limit(most_pairs)
+    found = delta.chunked(streams, pairs=splits_.unionByName(cross))
+    sized = found.join(names.select(F.col("model_dir").alias("model_a"), F.col("n").alias("n_docs_a")), "model_a").join(names.select(F.col("model_dir").alias("model_b"), F.col("n").alias("n_docs_b")), "model_b")
+    a, b = F.col("model_a"), F.col("model_b")
+    return sized.select(part(a, 0).alias("kind"), part(a, 1).alias("group_a"), part(b, 1).alias("group_b"), part(a, 2).cast("int").alias("split"), F.col("burrows_chunked").alias("burrows"), "n_docs_a", "n_docs_b")
 
 
 def exclusive_quartiles(values: DataFrame, *by: str) -> DataFrame:
-    """Count, least, quartiles at (n + 1) p by rank interpolation (from 4 values on), most, mean, population deviation."""
+    """Count, least, quartiles at (n + 1) p by rank interpolation (below 4 values: least, median, most), most, mean, population
+    deviation. A group is a list of distances, not of texts."""
     listed = values.groupBy(*by).agg(F.array_sort(F.collect_list("v")).alias("a"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
 
     def at(p: float):
@@ -66,8 +208,10 @@ def exclusive_quartiles(values: DataFrame, *by: str) -> DataFrame:
         lo = F.greatest(F.lit(1), F.least(F.floor(h), F.size("a") - 1)).cast("int")
         return F.element_at("a", lo) + (h - lo) * (F.element_at("a", lo + 1) - F.element_at("a", lo))
 
-    quartile = lambda p: F.round(F.when(F.size("a") >= 4, at(p)), 5)
+    few = F.size("a") < 4
+    middle = (F.element_at("a", F.floor((F.size("a") + 1) / 2).cast("int")) + F.element_at("a", F.ceil((F.size("a") + 1) / 2).cast("int"))) / 2
+    quartile = lambda p, low: F.round(F.when(few, low).otherwise(at(p)), 5)
     return listed.select(
-        *by, F.size("a").cast("long").alias("n"), F.round(F.array_min("a"), 5).alias("min"), quartile(0.25).alias("p25"), quartile(0.5).alias("median"),
-        quartile(0.75).alias("p75"), F.round(F.array_max("a"), 5).alias("max"), F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"),
+        *by, F.size("a").cast("long").alias("n"), F.round(F.array_min("a"), 5).alias("min"), quartile(0.25, F.array_min("a")).alias("p25"), F.round(middle, 5).alias("median"),
+        quartile(0.75, F.array_max("a")).alias("p75"), F.round(F.array_max("a"), 5).alias("max"), F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"),
     )

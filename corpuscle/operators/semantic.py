@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lexical import tokens_of
@@ -48,3 +48,9 @@ def rank_by(table: DataFrame, column: str, ascending: bool = True) -> DataFrame:
     """Corpora ranked by a column; a table of corpora is short."""
     order = F.col(column).asc() if ascending else F.col(column).desc()
     return table.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order, table.columns[0])))
+
+
+def ranked(table: DataFrame, name: str, k: int, *order: Column) -> DataFrame:
+    """O1: the first k rows in an order, with their place. Only each task's first k reach the window."""
+    rows = table.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    return rows.where(F.col(name) <= k).orderBy(name)

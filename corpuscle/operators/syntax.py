@@ -10,19 +10,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions import text as X
+from .order import era
+from .pairs import jsd_of
 
 DOC = ["model_dir", "topic", "text_ord"]
 
 
+def annotate(texts: DataFrame) -> DataFrame:
+    """A `parsed` table by rule, for smoke and scale tests: it fills the columns of a parser's (U1), and is none.
+
+    Sentences by F2, tokens by white space; word classes by length and ending, labels by place, and each token's head is the
+    one at half its place, so that sentences are trees of known depth.
+    """
+    words = F.flatten(F.transform(X.sentences(F.col("text")), lambda s, j: F.transform(X.space_words(s), lambda w, k: F.struct(j.alias("sent_id"), k.alias("k"), w.alias("word")))))
+    rows = texts.select(*DOC, F.posexplode(words).alias("i", "w")).select(*DOC, "w.sent_id", "i", "w.k", "w.word")
+    rows = rows.withColumn("lower", F.lower("word")).withColumn("lemma", F.regexp_replace("lower", X.PUNCTUATION, ""))
+    size, punct = F.char_length("lemma"), F.col("lemma") == ""
+    pos = (
+        F.when(punct, "PUNCT").when(size <= 2, "DET").when(size == 3, "ADP").when(F.col("lemma").rlike("(?:ing|ed)$"), "VERB").when(F.col("lemma").endswith("ly"), "ADV")
+        .when(size % 4 == 1, "ADJ").when(size % 4 == 2, "PRON").otherwise("NOUN")
+    )
+    label = F.element_at(F.array(*map(F.lit, ["ccomp", "nsubj", "obj", "relcl", "advcl", "conj", "nsubjpass"])), F.col("k") % 7 + 1)
+    chunk = F.when(pos.isin("NOUN", "PRON", "DET"), F.floor(F.col("i") / 3).cast("int"))
+    return rows.select(
+        *DOC, "sent_id", "i", F.when(F.col("k") == 0, F.col("i")).otherwise(F.col("i") - F.col("k") + F.floor((F.col("k") - 1) / 2)).cast("int").alias("head_i"), "word", "lower", "lemma", pos.alias("pos"),
+        F.when(F.col("k") == 0, "ROOT").when(punct, "punct").otherwise(label).alias("dep"), F.lit(False).alias("is_space"), punct.alias("is_punct"), (~F.col("word").rlike(r"[!-/:-@\[-`{-~0-9]")).alias("is_alpha"),
+        F.lit(False).alias("voice_passive"), chunk.alias("chunk_id"),
+    )
+
+
+def checked(parsed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Tokens of the corpora whose parsed texts are as many as their texts; the others' are left out, as no place in them
+    can be trusted. J1: by key, not by place."""
+    have = texts.groupBy("model_dir", "topic").agg(F.count(F.lit(1)).alias("n_texts"))
+    got = parsed.select(*DOC).distinct().groupBy("model_dir", "topic").agg(F.count(F.lit(1)).alias("n_parsed"))
+    good = have.join(got, ["model_dir", "topic"]).where("n_texts = n_parsed").select("model_dir", "topic")
+    return parsed.join(F.broadcast(good), ["model_dir", "topic"], "left_semi")  # a list of corpora
+
+
 def with_depth(parsed: DataFrame) -> DataFrame:
     """dependency distance and number of ancestors of each token.
 
-    A sentence's heads fit one array; depth follows it upward, at most as many steps as the sentence has tokens.
+    A sentence's heads are one array; each round jumps twice as far up the tree, so a sentence of n tokens takes log n rounds.
+    A token whose head is not in its sentence counts as a root.
     """
-    sents = parsed.groupBy(*DOC, "sent_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "head_i"))).alias("heads"), F.collect_list(F.struct(*[c for c in parsed.columns if c not in [*DOC, "sent_id"]])).alias("entries"))
-    rows = sents.select(*DOC, "sent_id", "heads", F.explode("entries").alias("entry")).select(*DOC, "sent_id", "heads", "entry.*")
-    climb = F.expr("aggregate(sequence(1, size(heads)), named_struct('at', i, 'd', 0), (a, _) -> IF(heads[a.at] IS NULL OR heads[a.at] = a.at, a, named_struct('at', heads[a.at], 'd', a.d + 1)), a -> a.d)")
-    return rows.withColumn("depth", climb).withColumn("dl", F.abs(F.col("i") - F.col("head_i"))).drop("heads")
+    rest = [c for c in parsed.columns if c not in [*DOC, "sent_id"]]
+    sents = parsed.groupBy(*DOC, "sent_id").agg(F.array_sort(F.collect_list(F.struct("i", *(c for c in rest if c != "i")))).alias("entries"))
+    place = F.transform("entries", lambda e, k: F.when((F.get("entries", (e["head_i"] - F.element_at("entries", 1)["i"]).cast("int"))["i"] == e["head_i"]), (e["head_i"] - F.element_at("entries", 1)["i"]).cast("int")).otherwise(k))
+    sents = sents.withColumn("up", place)
+    climb = F.expr(
+        "aggregate(sequence(1, greatest(1, cast(ceil(log2(size(up))) AS int))), named_struct('j', up, 'd', transform(up, (x, k) -> IF(x = k, 0, 1))), "
+        "(a, _) -> named_struct('j', transform(a.j, x -> a.j[x]), 'd', transform(a.d, (v, k) -> v + a.d[a.j[k]])), a -> a.d)"
+    )
+    rows = sents.withColumn("depths", climb).select(*DOC, "sent_id", F.posexplode("entries").alias("k", "entry"), "depths")
+    rows = rows.select(*DOC, "sent_id", "entry.*", F.get("depths", F.col("k")).alias("depth"))
+    return rows.withColumn("dl", F.abs(F.col("i") - F.col("head_i")))
 
 
 def per_text(parsed: DataFrame) -> DataFrame:
@@ -47,6 +90,104 @@ def per_text(parsed: DataFrame) -> DataFrame:
     return out.join(chunks, DOC, "left").withColumn("mean_noun_chunk_len", F.round(F.coalesce("mean_noun_chunk_len", F.lit(0.0)), 6))
 
 
+MEASURES = (
+    "mdd mdd_per_sent mhd tree_depth passive_rate subord_ratio relcl_rate advcl_rate ccomp_rate xcomp_rate acl_rate conj_rate parataxis_rate mean_noun_chunk_len n_tokens n_sents"
+).split()
+TAGS = "ADJ ADP ADV AUX CCONJ DET INTJ NOUN NUM PART PRON PROPN PUNCT SCONJ SYM VERB X".split()
+
+
+#: Added to means of rounded numbers before they are rounded: a half then goes up, in whatever order it was added up.
+NUDGE = 1e-11
+
+
+def summary(texts: DataFrame, parsed: DataFrame) -> DataFrame:
+    """By corpus and scope (each topic and pooled): n_texts, median and mean of the sixteen numbers, share of each word
+    class. texts: the result of `per_text`."""
+    both = [["model_dir", "topic"], ["model_dir"]]
+    scope = F.when(F.grouping("topic") == 1, F.lit("pooled")).otherwise(F.col("topic")).alias("scope")
+    numbers = texts.groupingSets(both, "model_dir", "topic").agg(
+        scope, F.count(F.lit(1)).cast("long").alias("n_texts"), *(F.round(F.percentile(m, F.lit(0.5)), 9).alias(f"{m}_median") for m in MEASURES), *(F.round(F.avg(m) + NUDGE, 9).alias(f"{m}_mean") for m in MEASURES)
+    ).drop("topic")
+    tags = parsed.where(~F.col("is_space")).groupingSets(both, "model_dir", "topic").agg(scope, *(F.round(F.count_if(F.col("pos") == t) / F.count(F.lit(1)), 6).alias(f"pos_{t}") for t in TAGS)).drop("topic")
+    return numbers.join(tags, ["model_dir", "scope"])
+
+
+def clause_medians(texts: DataFrame) -> DataFrame:
+    """Medians of the clause rates of a corpus' texts."""
+    kinds = [m for m in MEASURES if m.endswith("_rate") and m != "passive_rate"]
+    return texts.groupBy("model_dir").agg(*(F.round(F.percentile(m, F.lit(0.5)), 9).alias(m) for m in kinds))
+
+
+def descriptives(parsed: DataFrame, texts: DataFrame) -> DataFrame:
+    """n_chars, n_tokens, n_words (alphabetic), n_sents, n_types (lemmas), ttr and mean_sent_len of each text with tokens."""
+    alpha = F.when(F.col("is_alpha"), F.lower("lemma"))
+    sums = parsed.groupBy(*DOC).agg(F.count(F.lit(1)).alias("n_tokens"), F.count(alpha).alias("n_words"), F.count_distinct("sent_id").alias("n_sents"), F.count_distinct(alpha).alias("n_types"))
+    out = sums.join(texts.select(*DOC, F.char_length("text").cast("long").alias("n_chars")), DOC)
+    ratio = lambda a, b, places: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0), places)
+    return out.select(*DOC, "n_chars", "n_tokens", "n_words", "n_sents", "n_types", ratio("n_types", "n_words", 4).alias("ttr"), ratio("n_words", "n_sents", 2).alias("mean_sent_len"))
+
+
+def descriptive_summary(each: DataFrame, flags: DataFrame, parsed: DataFrame) -> DataFrame:
+    """By corpus and topic: n_total, n_quality_clean, pct_truncated (of all), vocab_size and corpus_ttr (lemmas of clean
+    texts), median, mean and sample deviation of five numbers of clean texts. Clean: no loop, no code, no other language.
+
+    each: the result of `descriptives`; flags: `cleaned` texts.
+    """
+    bad = F.lit(False)
+    for f in ("flag_repetition_loop", "flag_code_contam", "flag_non_english"):
+        bad = bad | F.coalesce(F.col(f), F.lit(True))
+    marked = flags.select(*DOC, (~bad).alias("clean"), "flag_truncation")
+    rows = each.join(marked, DOC)
+    value = lambda c: F.when(F.col("clean"), F.col(c))
+    five = "n_words n_sents n_types ttr mean_sent_len".split()
+    out = rows.groupBy("model_dir", "topic").agg(
+        F.count(F.lit(1)).cast("long").alias("n_total"), F.count_if("clean").cast("long").alias("n_quality_clean"), F.round(F.avg(F.col("flag_truncation").cast("double")) * 100, 1).alias("pct_truncated"),
+        *(g for c in five for g in (F.round(F.percentile(value(c), F.lit(0.5)), 2).alias(f"{c}_median"), F.round(F.avg(value(c)), 2).alias(f"{c}_mean"), F.round(F.stddev_samp(value(c)), 2).alias(f"{c}_std"))),
+    )
+    words = parsed.where("is_alpha").join(marked.where("clean").select(*DOC), DOC).groupBy("model_dir", "topic", F.lower("lemma").alias("lemma")).agg(F.count(F.lit(1)).alias("c"))
+    vocab = words.groupBy("model_dir", "topic").agg(F.count(F.lit(1)).alias("vocab_size"), F.round(F.count(F.lit(1)) / F.sum("c"), 4).alias("corpus_ttr"))
+    return out.join(vocab, ["model_dir", "topic"], "left").na.fill(0, ["vocab_size", "corpus_ttr"])
+
+
+def dep_counts(parsed: DataFrame) -> DataFrame:
+    """Counts of edge labels: model_dir, token, c."""
+    edges = parsed.where(~F.col("is_space") & (F.col("dep") != "punct") & (F.col("head_i") != F.col("i")))
+    return edges.groupBy("model_dir", F.col("dep").alias("token")).agg(F.count(F.lit(1)).alias("c"))
+
+
+def divergences(parsed: DataFrame) -> DataFrame:
+    """JSD of every pair of corpora in n-grams of word classes (n = 1, 2, 3) and in edge labels: metric, model_a, model_b, jsd."""
+    parts = [jsd_of(pos_grams(parsed, n)).select(F.lit(f"pos_{m}_jsd").alias("metric"), "model_a", "model_b", "jsd") for n, m in ((1, "unigram"), (2, "bigram"), (3, "trigram"))]
+    out = jsd_of(dep_counts(parsed)).select(F.lit("dep_label_jsd").alias("metric"), "model_a", "model_b", "jsd")
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
+def curves(lengths: DataFrame, eras: dict[str, list[str]] = fixed.ERAS) -> DataFrame:
+    """Mean distance and height by sentence length, weighted by sentences: of each era (cells of 30 sentences at least) and
+    of all corpora (their cells of 20 at least). lengths: the result of `by_length`."""
+    lo, hi = fixed.CURVE_LENGTHS
+    rows = lengths.where(F.col("length").between(lo, hi))
+    mean = lambda c: F.round(F.sum(F.col(c) * F.col("n_sents")) / F.sum("n_sents"), 6).alias(c)
+    by_era = rows.withColumn("curve", era(F.col("model_dir"), eras)).where("curve != 'other'").groupBy("curve", "length").agg(F.sum("n_sents").alias("n_sents"), mean("mean_dl"), mean("mean_mhd")).where(F.col("n_sents") >= fixed.CURVE_SUPPORT)
+    every = rows.where(F.col("n_sents") >= fixed.CORPUS_SUPPORT).groupBy(F.lit("all").alias("curve"), "length").agg(F.sum("n_sents").alias("n_sents"), mean("mean_dl"), mean("mean_mhd"))
+    return by_era.unionByName(every)
+
+
+def by_function(labels: DataFrame, eras: dict[str, list[str]] = fixed.ERAS, k: int = fixed.TOP_LABELS) -> DataFrame:
+    """Labels with the longest mean distance over all corpora: dep, n, mean_dl, share per thousand edges in the first and
+    the second cohort, and whether it falls from one to the other. labels: the result of `dep_labels`."""
+    rows = labels.withColumn("era", era(F.col("model_dir"), eras))
+    total = rows.groupBy("era").agg(F.sum("n").alias("all"))
+    shares = rows.groupBy("era", "dep").agg(F.sum("n").alias("n")).join(total, "era").withColumn("share", F.col("n") * 1000 / F.col("all"))
+    of = lambda e: F.coalesce(F.max(F.when(F.col("era") == e, F.col("share"))), F.lit(0.0))
+    shares = shares.groupBy("dep").agg(of("2023").alias("a"), of("2026").alias("b"))
+    overall = rows.groupBy("dep").agg(F.sum("n").alias("n"), (F.sum(F.col("mean_dl") * F.col("n")) / F.sum("n")).alias("dl"))
+    top = overall.select("dep", "n", F.round("dl", 5).alias("mean_dl")).orderBy(F.desc("mean_dl"), "dep").limit(k)
+    return top.join(shares, "dep").select("dep", "n", "mean_dl", F.round("a", 4).alias("share_2023"), F.round("b", 4).alias("share_2026"), F.when(F.col("b") < F.col("a"), "decreasing").otherwise("increasing").alias("direction"))
+
+
 def dep_labels(parsed: DataFrame) -> DataFrame:
     """Per corpus and label: edges, per thousand edges, mean distance."""
     edges = parsed.where(~F.col("is_space") & (F.col("dep") != "punct") & (F.col("head_i") != F.col("i"))).withColumn("dl", F.abs(F.col("i") - F.col("head_i")))
@@ -59,7 +200,7 @@ def by_length(parsed: DataFrame) -> DataFrame:
     """Mean distance and height by sentence length in edges, long sentences in one bin."""
     rows = with_depth(parsed.where(~F.col("is_space"))).where((F.col("dep") != "punct") & (F.col("head_i") != F.col("i")))
     sent = rows.groupBy(*DOC, "sent_id").agg(F.count(F.lit(1)).alias("e"), F.avg("dl").alias("dl"), F.avg("depth").alias("h"))
-    return sent.groupBy("model_dir", F.least(F.col("e"), F.lit(fixed.LENGTH_CAP)).cast("long").alias("length")).agg(F.count(F.lit(1)).cast("long").alias("n_sents"), F.round(F.avg("dl"), 6).alias("mean_dl"), F.round(F.avg("h"), 6).alias("mean_mhd"))
+    return sent.groupBy("model_dir", F.least(F.col("e"), F.lit(fixed.LENGTH_CAP)).cast("long").alias("length")).agg(F.count(F.lit(1)).cast("long").alias("n_sents"), F.round(F.avg("dl"), 9).alias("mean_dl"), F.round(F.avg("h"), 9).alias("mean_mhd"))
 
 
 def pos_grams(parsed: DataFrame, n: int) -> DataFrame:
@@ -67,9 +208,3 @@ def pos_grams(parsed: DataFrame, n: int) -> DataFrame:
     seq = parsed.where(~F.col("is_space")).groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("i", "pos"))).alias("s"))
     rows = seq.select("model_dir", F.col("s.pos").alias("s"), F.posexplode("s").alias("k", "x")).where(F.col("k") + n <= F.size("s"))
     return rows.groupBy("model_dir", F.concat_ws(" ", *(F.get("s", F.col("k") + j) for j in range(n))).alias("token")).agg(F.count(F.lit(1)).alias("c"))
-
-
-def views(parsed: DataFrame) -> DataFrame:
-    """Each word in the view of all words and in that of its class."""
-    kinds = F.array_compact(F.array(F.lit("all"), F.when(F.col("pos").isin(fixed.CONTENT_POS), "content").when(F.col("pos").isin(fixed.FUNCTION_POS), "function")))
-    return parsed.withColumn("view", F.explode(kinds))

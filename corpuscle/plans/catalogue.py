@@ -218,7 +218,19 @@ def _distances(texts: DataFrame, scope: str) -> DataFrame:
     return out
 
 
-@query("distance_long")
+def _distance_sql() -> str:
+    """Each metric of each scope by itself; a scope's query reads only its topic's documents."""
+    gap = lambda inner, c: f"SELECT a.model_dir AS model_a, b.model_dir AS model_b, round(abs(a.{c} - b.{c}), 6) AS distance FROM ({inner}) a JOIN ({inner}) b ON a.model_dir < b.model_dir"
+    of = lambda inner, value: f"SELECT model_a, model_b, {value} AS distance FROM ({inner})"
+    parts = {
+        "burrows_delta": of(f"WITH {_DELTA} SELECT * FROM dl", "burrows"), "cosine_delta": of(f"WITH {_DELTA} SELECT * FROM dl", "cosine"), "bigram_jsd": of(SQL["jsd_bigram_pairs"], "jsd"), "trigram_jsd": of(SQL["jsd_trigram_pairs"], "jsd"),
+        "jaccard_distance": of(SQL["jaccard_top100_pairs"], "round(1 - jaccard, 6)"), "text_length_d": of(SQL["length_cohens_d"], "abs(d)"), "sentence_length_d": of(SQL["sentence_length_cohens_d"], "abs(d)"),
+    } | {name: gap(SQL[q], c) for name, q, c in (("ttr", "lexical_profile", "ttr"), ("mattr", "mattr", "mattr"), ("hapax_ratio", "lexical_profile", "hapax_ratio"), ("yules_k", "lexical_profile", "yules_k"), ("zipf", "zipf_exponent", "zipf"))}
+    scopes = {"pooled": "FROM documents"} | {t: f"FROM (SELECT * FROM documents WHERE lang = '{t}')" for t in ("de", "en", "es", "fr")}
+    return " UNION ALL ".join(f"SELECT '{m}' AS metric, '{s}' AS scope, * FROM ({q.replace('FROM documents', source)})" for s, source in scopes.items() for m, q in parts.items())
+
+
+@query("distance_long", _distance_sql())
 def distance_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every topic by itself, and all pooled; a text without a topic is in the pooled scope only."""
     texts = documents(spark, sf_dir)
@@ -238,7 +250,7 @@ _CELLS = ", ".join(f"max(d) FILTER (b = '{n}') AS {n}" for n in _NAMES)
 
 @query("distance_matrix_burrows", f"WITH {_DELTA}, u AS (SELECT model_a AS a, model_b AS b, burrows AS d FROM dl UNION ALL SELECT model_b, model_a, burrows FROM dl UNION ALL SELECT DISTINCT model_dir, model_dir, 0 FROM z) SELECT a AS model, {_CELLS} FROM u GROUP BY a")
 def distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.matrix(_burrows(spark, sf_dir), _NAMES)
+    return pairs.matrix(_known(_burrows(spark, sf_dir), "model_a", _NAMES), _NAMES)
 
 
 @query("rank_to_target", f"WITH {_DELTA}, t AS (SELECT CASE WHEN model_a = 'src0' THEN model_b ELSE model_a END AS model, burrows AS distance FROM dl WHERE 'src0' IN (model_a, model_b)) SELECT model, distance, CAST(row_number() OVER (ORDER BY distance, model) AS INTEGER) AS rank FROM t")
@@ -267,9 +279,8 @@ def gap_vs_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts, on = documents(spark, sf_dir), ["model_a", "model_b"]
     both = pairs.jaccard(texts).join(pairs.jsd(texts, 2), on).join(pairs.cohens_d(pairs.moments(pairs.lengths(texts))), on).join(delta.between(delta.centroids(texts)), on)
-    p = lambda ks: F.round(pairs.ks_p(F.col(ks), F.col("n_a").cast("double"), F.col("n_b").cast("double")), 6)
-    sentences = pairs.ks(pairs.sentence_lengths(texts)).select(*on, F.col("ks").alias("sentence_ks"), p("ks").alias("sentence_ks_p"))
-    both = both.join(pairs.ks(pairs.lengths(texts)), on).withColumn("ks_p", p("ks")).join(sentences, on, "left").join(delta.chunked(texts), on)
+    sentences = pairs.ks_test(pairs.sentence_lengths(texts)).select(*on, F.col("ks").alias("sentence_ks"), F.col("ks_p").alias("sentence_ks_p"))
+    both = both.join(pairs.ks_test(pairs.lengths(texts)), on).join(sentences, on, "left").join(delta.chunked(texts), on)
     return both.withColumn("warnings", pairs.verdict(F.col("jsd"), F.col("jaccard"), F.col("d"), F.col("burrows_chunked"), F.col("ks_p"), F.col("sentence_ks_p")))
 
 
@@ -280,8 +291,8 @@ def dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "repetition_loop_flags",
-    f"WITH {_ROWS}, g AS (SELECT text_ord, w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] AS g FROM (SELECT *, unnest(range(greatest(len(w) - 2, 0))) AS p FROM txt)), c AS (SELECT text_ord, g, count(*) AS c FROM g GROUP BY ALL), m AS (SELECT text_ord, max(c) AS top, sum(c) AS n FROM c GROUP BY ALL) "
-    "SELECT txt.model_dir, txt.topic, txt.text_ord, CAST(CASE WHEN coalesce(n, 0) >= 2 THEN top ELSE 0 END AS BIGINT) AS repetition_top_count, coalesce(n, 0) >= 2 AND top >= greatest(8, floor(0.015 * n)) AS flag_repetition_loop FROM txt LEFT JOIN m USING (text_ord)",
+    f"WITH w AS (SELECT source AS model_dir, lang AS topic, doc_id AS text_ord, regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z'']+') AS w FROM documents), g AS (SELECT text_ord, w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] AS g FROM (SELECT *, unnest(range(greatest(len(w) - 2, 0))) AS p FROM w)), c AS (SELECT text_ord, g, count(*) AS c FROM g GROUP BY ALL), m AS (SELECT text_ord, max(c) AS top, sum(c) AS n FROM c GROUP BY ALL) "
+    "SELECT w.model_dir, w.topic, w.text_ord, CAST(CASE WHEN coalesce(n, 0) >= 2 THEN top ELSE 0 END AS BIGINT) AS repetition_top_count, coalesce(n, 0) >= 2 AND top >= greatest(8, floor(0.015 * n)) AS flag_repetition_loop FROM w LEFT JOIN m USING (text_ord)",
 )
 def repetition_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.repetition(documents(spark, sf_dir))
@@ -350,14 +361,19 @@ def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LANGS = ["de", "en", "es", "fr"]
 
 
+def _known(rows: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """The rows; a matrix has fixed columns, so a name that has none (null too) fails the query instead of being left out."""
+    return rows.where(F.when(F.coalesce(F.col(column).isin(names), F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"{column} without a column: "), F.coalesce(column, F.lit("null")))).cast("boolean")))
+
+
 @query("flag_rate_matrix", f"SELECT source AS model_dir, {', '.join(f'round(avg(CASE WHEN {_TRUNCATED} THEN 1.0::DOUBLE ELSE 0 END) FILTER (lang = {l!r}) * 100, 4) AS {l}' for l in _LANGS)} FROM documents GROUP BY source")
 def flag_rate_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.flag_rates(documents(spark, sf_dir).withColumn("flag_truncation", X.truncated(F.col("text"))), "flag_truncation", _LANGS)
+    return clean.flag_rates(_known(documents(spark, sf_dir), "topic", _LANGS).withColumn("flag_truncation", X.truncated(F.col("text"))), "flag_truncation", _LANGS)
 
 
 @query("verbosity_matrix", f"SELECT source AS model_dir, {', '.join(f'round(median({_WORDS}) FILTER (lang = {l!r}), 4) AS {l}' for l in _LANGS)} FROM documents GROUP BY source")
 def verbosity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).withColumn("n", X.word_count(F.col("text")))
+    rows = _known(documents(spark, sf_dir), "topic", _LANGS).withColumn("n", X.word_count(F.col("text")))
     return rows.groupBy("model_dir").pivot("topic", _LANGS).agg(F.round(F.percentile("n", F.lit(0.5)), 4))
 
 
@@ -401,70 +417,34 @@ def _draw_sql(*parts: str) -> str:
 
 @query(
     "keyness_consensus",
-    f"WITH {_TOK}, rp AS (SELECT model_dir, text_ord, unnest(range(10)) AS rep FROM txt), rr AS (SELECT *, row_number() OVER (PARTITION BY rep, model_dir ORDER BY {_draw_sql(chr(39) + 'keyness' + chr(39), 'rep', 'model_dir', 'text_ord')}, text_ord) AS r, count(*) OVER (PARTITION BY rep, model_dir) AS n FROM rp), "
-    f"smp AS (SELECT rep, tok.model_dir, token, count(*) AS c, min({{'t': text_ord, 'p': pos}}) AS f FROM rr JOIN tok USING (model_dir, text_ord) WHERE r <= greatest(2, n // 2) GROUP BY ALL), {_keyness_sql('smp', 'rep')}, votes AS (SELECT model_dir, token, count(*) / 10.0::DOUBLE AS rate FROM k3 WHERE rank <= 20 GROUP BY ALL), "
-    + f"pt AS (WITH cnt AS (SELECT model_dir, token, count(*) AS c, min({{'m': model_dir, 't': text_ord, 'p': pos}}) AS f FROM tok GROUP BY ALL), {_keyness_sql('cnt')} SELECT model_dir, token, true AS point FROM k3 WHERE rank <= 20) "
-    "SELECT model_dir, token, round(coalesce(rate, 0), 4) AS selection_rate, coalesce(point, false) AS point, coalesce(point, false) AND round(coalesce(rate, 0), 4) >= 0.8 AS consensus FROM pt FULL JOIN votes USING (model_dir, token)",
+    f"WITH {_TOK}, rp AS (SELECT model_dir, text_ord, unnest(range(50)) AS rep FROM txt), rr AS (SELECT *, row_number() OVER (PARTITION BY rep, model_dir ORDER BY {_draw_sql(chr(39) + 'keyness' + chr(39), 'rep', 'model_dir', 'text_ord')}, text_ord) AS r, count(*) OVER (PARTITION BY rep, model_dir) AS n FROM rp), "
+    "pc AS (SELECT model_dir, text_ord, token, count(*) AS c, min(pos) AS pos FROM tok GROUP BY ALL), w AS (SELECT model_dir, token, CAST(sum(c) AS DOUBLE) AS c, min({'t': text_ord, 'p': pos}) AS f FROM pc GROUP BY ALL), "
+    "smp AS (SELECT rep, pc.model_dir, token, CAST(sum(c) AS DOUBLE) AS c1 FROM rr JOIN pc USING (model_dir, text_ord) WHERE n >= 4 AND r <= greatest(2, n // 2) GROUP BY ALL UNION ALL SELECT -1, model_dir, token, c FROM w WHERE model_dir IN (SELECT model_dir FROM rr WHERE n >= 4)), "
+    "z AS (SELECT smp.*, sum(c1) OVER (PARTITION BY rep, model_dir) AS n1 FROM smp), rest AS (SELECT model_dir, token, f, sum(c) OVER (PARTITION BY token) - c AS c2, sum(c) OVER () - sum(c) OVER (PARTITION BY model_dir) AS n2 FROM w), "
+    "k1 AS (SELECT z.*, f, c2, n2, (c1 + c2) / (n1 + n2) AS e FROM z JOIN rest USING (model_dir, token) WHERE c1 >= 20 AND n2 > 0), "
+    "k2 AS (SELECT *, 2 * (c1 * ln(c1 / (n1 * e)) + CASE WHEN c2 > 0 THEN c2 * ln(c2 / (n2 * e)) ELSE 0 END) AS g2, round(log2(((c1 + 0.5::DOUBLE) / n1) / ((c2 + 0.5::DOUBLE) / n2)), 6) AS log_ratio FROM k1), "
+    f"k3 AS (SELECT *, row_number() OVER (PARTITION BY rep, model_dir ORDER BY log_ratio DESC, f) AS rank FROM k2 WHERE g2 >= {fixed.G2_LEAST}), "
+    "v AS (SELECT model_dir, token, round(count(*) FILTER (rep >= 0) / 50.0::DOUBLE, 4) AS selection_rate, min(rep) = -1 AS point FROM k3 WHERE rank <= 20 GROUP BY ALL) SELECT *, point AND selection_rate >= 0.8 AS consensus FROM v",
 )
 def keyness_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyness.consensus(documents(spark, sf_dir))
 
 
-@query("keyness_consensus_full")
-def keyness_consensus_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the reference's 50 half samples and least count of 20."""
-    return keyness.consensus(documents(spark, sf_dir), reps=50, least=20)
-
-
 _SUMMARY = "count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(quantile_cont(v, 0.025), 6) AS p2_5, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.975), 6) AS p97_5"
 
 
 @query(
     "bootstrap_ttr_ci",
-    f"WITH {_TOK}, r AS (SELECT model_dir, text_ord, row_number() OVER (PARTITION BY model_dir ORDER BY text_ord) - 1 AS i, count(*) OVER (PARTITION BY model_dir) AS n FROM txt), d AS (SELECT model_dir, n, i AS d, unnest(range(20)) AS rep FROM r), "
+    f"WITH {_TOK}, r AS (SELECT model_dir, text_ord, row_number() OVER (PARTITION BY model_dir ORDER BY text_ord) - 1 AS i, count(*) OVER (PARTITION BY model_dir) AS n FROM txt), d AS (SELECT model_dir, n, i AS d, unnest(range(1000)) AS rep FROM r), "
     f"pk AS (SELECT model_dir, rep, {_draw_sql(chr(39) + 'boot' + chr(39), 'rep', 'model_dir', 'd')} % n AS i, count(*) AS w FROM d GROUP BY ALL), pc AS (SELECT model_dir, text_ord, token, count(*) AS c FROM tok GROUP BY ALL), "
-    "x AS (SELECT rep, model_dir, token, sum(c * w) AS c FROM pk JOIN r USING (model_dir, i) JOIN pc USING (model_dir, text_ord) GROUP BY ALL), val AS (SELECT rep, model_dir, count(*) / CAST(sum(c) AS DOUBLE) AS v FROM x GROUP BY ALL), "
+    "dr AS (SELECT model_dir, text_ord, CAST(rep AS INTEGER) AS rep, w FROM pk JOIN r USING (model_dir, i)), mk AS (SELECT model_dir, text_ord, bitstring_agg(rep, 0, 999) AS m FROM dr GROUP BY ALL), ty AS (SELECT model_dir, bit_or(m) AS m FROM pc JOIN mk USING (model_dir, text_ord) GROUP BY model_dir, token), "
+    "ln AS (SELECT model_dir, text_ord, sum(c) AS n FROM pc GROUP BY ALL), nt AS (SELECT model_dir, rep, sum(w * n) AS n FROM dr JOIN ln USING (model_dir, text_ord) GROUP BY ALL), vt AS (SELECT model_dir, rep, sum(get_bit(m, rep)) AS v FROM ty, (SELECT CAST(unnest(range(1000)) AS INTEGER) AS rep) GROUP BY ALL), val AS (SELECT model_dir, v / CAST(n AS DOUBLE) AS v FROM vt JOIN nt USING (model_dir, rep)), "
     f"pt AS (SELECT model_dir, round(count(DISTINCT token) / CAST(count(*) AS DOUBLE), 6) AS point FROM tok GROUP BY ALL) SELECT model_dir, {_SUMMARY}, any_value(point) AS point FROM val JOIN pt USING (model_dir) GROUP BY model_dir",
 )
 def bootstrap_ttr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.bootstrap_ttr(documents(spark, sf_dir))
 
 
-@query("bootstrap_ttr_ci_full")
-def bootstrap_ttr_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the reference's 1,000 samples."""
-    return resample.bootstrap_ttr(documents(spark, sf_dir), reps=1000)
-
-
-@query(
-    "within_corpus_split_half",
-    f"WITH {_TOK}, rp AS (SELECT model_dir, text_ord, unnest(range(10)) AS rep FROM txt), rr AS (SELECT *, row_number() OVER (PARTITION BY rep, model_dir ORDER BY {_draw_sql(chr(39) + 'half' + chr(39), 'rep', 'model_dir', 'text_ord')}, text_ord) AS r, least(count(*) OVER (PARTITION BY rep, model_dir), 1000) // 2 AS h FROM rp), "
-    "s AS (SELECT rep, tok.model_dir, token, count(*) FILTER (r <= h) AS x, count(*) FILTER (r > h) AS y FROM rr JOIN tok USING (model_dir, text_ord) WHERE h >= 2 AND r <= 2 * h GROUP BY ALL), "
-    "pq AS (SELECT rep, model_dir, x / CAST(sum(x) OVER w AS DOUBLE) AS p, y / CAST(sum(y) OVER w AS DOUBLE) AS q FROM s WINDOW w AS (PARTITION BY rep, model_dir)), "
-    "val AS (SELECT rep, model_dir, sum(CASE WHEN p > 0 THEN 0.5::DOUBLE * p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN 0.5::DOUBLE * q * log2(q / ((p + q) / 2)) ELSE 0 END) AS v FROM pq GROUP BY ALL) "
-    f"SELECT model_dir, {_SUMMARY} FROM val GROUP BY model_dir",
-)
-def split_half(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.split_half_distance(documents(spark, sf_dir))
-
-
-@query("within_corpus_split_half_full")
-def split_half_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the reference's 100 splits."""
-    return resample.split_half_distance(documents(spark, sf_dir), reps=100)
-
-
-def _quart(p: float) -> str:
-    h = f"(len(a) + 1) * {p}::DOUBLE"
-    lo = f"CAST(greatest(1, least(floor({h}), len(a) - 1)) AS INTEGER)"
-    return f"round(CASE WHEN len(a) >= 4 THEN a[{lo}] + ({h} - {lo}) * (a[{lo} + 1] - a[{lo}]) END, 5)"
-
-
-@query("author_length_quartiles", f"WITH {_LEN}, g AS (SELECT model_dir, list(CAST(n AS DOUBLE) ORDER BY n) AS a, avg(n) AS mean, stddev_pop(n) AS std FROM val GROUP BY ALL) SELECT model_dir, len(a) AS n, round(a[1], 5) AS min, {_quart(0.25)} AS p25, {_quart(0.5)} AS median, {_quart(0.75)} AS p75, round(a[-1], 5) AS max, round(mean, 5) AS mean, round(std, 5) AS std FROM g")
-def author_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.exclusive_quartiles(pairs.lengths(documents(spark, sf_dir)).withColumn("v", F.col("n").cast("double")), "model_dir")
-
-
 #: Keywords that the driver's invented languages can hold, besides the real ones.
 KEYS = fixed.KEYWORDS | {"invented_a": ["the th", "tion", "ention"], "invented_b": ["que ", "ción", "re the"]}
 _KEYS = ", ".join(f"('{t}', '{k}')" for t, ks in KEYS.items() for k in ks)
@@ -556,7 +536,7 @@ def syntax_dep_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "syntax_by_length",
-    f"WITH RECURSIVE {_PARSED_SQL}, {_DEPTH}, s AS (SELECT p.model_dir, p.text_ord, p.sent_id, count(*) AS e, avg(abs(p.i - head_i)) AS dl, avg(depth) AS h FROM parsed p JOIN dp ON dp.model_dir = p.model_dir AND dp.text_ord = p.text_ord AND dp.i = p.i WHERE NOT is_space AND dep <> 'punct' AND head_i <> p.i GROUP BY ALL) SELECT model_dir, CAST(least(e, 80) AS BIGINT) AS length, count(*) AS n_sents, round(avg(dl), 6) AS mean_dl, round(avg(h), 6) AS mean_mhd FROM s GROUP BY ALL",
+    f"WITH RECURSIVE {_PARSED_SQL}, {_DEPTH}, s AS (SELECT p.model_dir, p.text_ord, p.sent_id, count(*) AS e, avg(abs(p.i - head_i)) AS dl, avg(depth) AS h FROM parsed p JOIN dp ON dp.model_dir = p.model_dir AND dp.text_ord = p.text_ord AND dp.i = p.i WHERE NOT is_space AND dep <> 'punct' AND head_i <> p.i GROUP BY ALL) SELECT model_dir, CAST(least(e, 80) AS BIGINT) AS length, count(*) AS n_sents, round(avg(dl), 9) AS mean_dl, round(avg(h), 9) AS mean_mhd FROM s GROUP BY ALL",
 )
 def syntax_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.by_length(parsed_example(spark))
@@ -590,3 +570,6 @@ def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("value_stats_by_event", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY event_type")
 def value_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"))
+
+
+from . import surveys  # noqa: E402, F401  (registers the rest of the queries)

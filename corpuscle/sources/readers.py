@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as X
+
 RAW = T.StructType([T.StructField(n, T.StringType()) for n in ("topic", "model", "text", "language", "author_id", "source_id")])
 POST = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "name", "author", "title", "selftext", "subreddit", "link_flair_text")] + [T.StructField("delta", T.BooleanType())])
 #: Parts of a path that are not corpora.
@@ -28,7 +33,7 @@ def read_corpora(spark: SparkSession, paths: str | list[str], schema: T.StructTy
     """CSV corpora (texts may hold line ends) with model_dir and topic from their paths; rows without a text are dropped."""
     rows = spark.read.csv(paths, schema=schema, header=True, multiLine=True, quote='"', escape='"', enforceSchema=False)
     rows = rows.withColumn("__path", F.input_file_name()).where(~F.col("__path").rlike(EXCLUDED))
-    rows = rows.withColumn("model_dir", corpus_of(F.col("__path"))).withColumn("topic", topic_of(F.col("__path"))).drop("__path")
+    rows = _by_path(rows, F.col("__path")).drop("__path")
     return (rows if human else rows.where(~F.col("model_dir").isin(*HUMAN))).where(F.col("text").isNotNull())
 
 
@@ -49,6 +54,72 @@ def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
     return next((p for p in paths if hadoop(p).getFileSystem(conf).exists(hadoop(p))), None)
 
 
+#: Used only where a local session names no folder, as in tests.
+LOCAL_DEFAULT = "/tmp/checkpoints"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may go without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or LOCAL_DEFAULT).rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as Parquet in the shared folder, for a table that several branches of a plan read: its lineage ends there."""
+    path = f"{shared_dir(df.sparkSession)}/corpuscle/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_corpora(texts: DataFrame, path: str, order: str = "text_ord") -> None:
+    """K4: texts as CSV, a folder for each corpus and in it one for each topic, each file sorted by a column; the topic stays a
+    column too, the corpus is told by the path."""
+    rows = texts.select(*(c for c in texts.columns if c not in ("model_dir", "topic")), "topic", F.col("model_dir").alias("c"), F.col("topic").alias("t"))
+    rows = rows.select("topic", *(c for c in rows.columns if c != "topic"))
+    rows.sortWithinPartitions("c", "t", order).write.partitionBy("c", "t").option("escape", '"').option("emptyValue", "").option("nullValue", "\u0001").csv(path, header=True)
+
+
+def _by_path(rows: DataFrame, path: Column) -> DataFrame:
+    """S3: corpus and topic from a file's folders, named plainly or "column=value"."""
+    bare = lambda c: F.call_function("url_decode", F.regexp_replace(F.regexp_replace(c, "^[a-z]+=", ""), r"\+", "%2B"))
+    return rows.withColumn("model_dir", bare(corpus_of(path))).withColumn("topic", bare(topic_of(path)))
+
+
+def read_cleaned(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Cleaned corpora without flagged rows: those of the four flags that the files have, a null one counting as set; `text` is
+    the cleaned text if there is one, "" for a null."""
+    rows = spark.read.csv(paths, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
+    rows = _by_path(rows, F.input_file_name())
+    for flag in (f for f in ("flag_repetition_loop", "flag_code_contam", "flag_non_english", "flag_truncation") if f in rows.columns):
+        rows = rows.where(~F.coalesce(F.col(flag).cast("boolean"), F.lit(True)))
+    return rows.withColumn("text", F.coalesce(F.col("text_clean" if "text_clean" in rows.columns else "text"), F.lit("")))
+
+
+def read_by_author(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """author_id and text of the first of these corpora that is there, cleaned ones before raw; blank texts left out."""
+    path = first_existing(spark, folders)
+    if path is None:
+        raise FileNotFoundError(f"none of {folders}")
+    return read_cleaned(spark, f"{path}/*/*/*").where(~X.blank(F.col("text"))).select("author_id", "text")
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A result table as written by `write_table`."""
+    return spark.read.csv(path, header=True, schema=schema)
+
+
+def write_parsed(parsed: DataFrame, path: str) -> None:
+    """K3: parsed tokens as Parquet, a folder for each corpus."""
+    parsed.write.partitionBy("model_dir").parquet(path)
+
+
+def read_parsed(spark: SparkSession, path: str) -> DataFrame:
+    """Parsed tokens; for the guard by number of texts see operators.syntax.checked."""
+    return spark.read.option("basePath", path).parquet(path)
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Rows of a table that is scanned by fewer tasks than there are cores (one small file) dealt to all of them; others as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism

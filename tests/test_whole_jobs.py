@@ -36,8 +36,8 @@ def test_distances_of_every_scope(spark, small):
 
 
 def test_resampling_with_all_repetitions(spark, small):
-    assert {r.n for r in catalogue.QUERIES["bootstrap_ttr_ci_full"](spark, small).collect()} == {1000}
-    assert {r.n for r in catalogue.QUERIES["within_corpus_split_half_full"](spark, small).collect()} == {100}
+    assert {r.n for r in catalogue.QUERIES["bootstrap_ttr_ci"](spark, small).collect()} == {1000}
+    assert {r.n for r in catalogue.QUERIES["within_corpus_split_half"](spark, small).where("kind = 'within_split'").collect()} == {100}
 
 
 def test_consensus_of_fifty_half_samples(spark, tmp_path):
@@ -45,6 +45,6 @@ def test_consensus_of_fifty_half_samples(spark, tmp_path):
     own = lambda m: ["only" + "xy"[m]] * 4 + ["rare" + "xy"[m]] if rng.random() < 0.8 else []
     rows = [(10 * k + m, " ".join([*own(m), *["same", "words"] * 10]), "de", f"src{m}") for k in range(16) for m in range(2)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.token: r.selection_rate for r in catalogue.QUERIES["keyness_consensus_full"](spark, str(tmp_path)).collect()}
+    got = {r.token: r.selection_rate for r in catalogue.QUERIES["keyness_consensus"](spark, str(tmp_path)).collect()}
     assert {"onlyx", "onlyy"} <= set(got) and not {"rarex", "rarey"} & set(got)  # at most 16 times: under 20
     assert all(round(50 * rate, 6) == int(round(50 * rate)) for rate in got.values())
