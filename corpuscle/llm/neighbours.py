@@ -16,6 +16,8 @@ from .common import dealt, written
 
 #: Vectors that the quantisers are fitted on, at most: those with the smallest hash of their values.
 SAMPLE = 20_000
+#: Vectors of the sample whose true neighbours tell how much of the index a query must visit.
+PROBES = 500
 #: Entries and queries that one group ranks at once: cells are packed into blocks of about so many entries, and a larger
 #: cell is spread over several blocks.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 20_000
@@ -93,18 +95,38 @@ class MultiIndex:
         return found
 
 
-def build_index(entries: DataFrame, seed: int = 11) -> tuple[MultiIndex, DataFrame]:
+def needed_share(index: MultiIndex, x: np.ndarray, k: int, target: float) -> float:
+    """The share of the entries that a query must visit to meet `target` of its k true neighbours, measured on the sample x.
+
+    For PROBES of the sample's vectors, each true neighbour within the sample needs all entries of cells nearer than its own
+    to be visited. Among all entries neighbours are nearer still, so the share errs on the safe side.
+    """
+    if len(x) < 2:
+        return 1.0
+    probes = x[: min(PROBES, len(x))]
+    near = probes @ x.T
+    near[np.arange(len(probes)), np.arange(len(probes))] = -np.inf
+    true = np.argsort(-near, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    one, two = _nearest(x[:, : index.half], index.first), _nearest(x[:, index.half :], index.second)
+    far = _squared(probes[:, : index.half], index.first)[:, one] + _squared(probes[:, index.half :], index.second)[:, two]
+    order = np.sort(far, axis=1)
+    needed = [np.searchsorted(row, d[t], side="right") / len(x) for row, d, t in zip(order, far, true, strict=True)]
+    return float(np.quantile(np.concatenate(needed), target))
+
+
+def build_index(entries: DataFrame, seed: int = 11, k: int = 5, target: float = 0.95) -> tuple[MultiIndex, DataFrame, float]:
     """Fit the quantisers on at most SAMPLE distinct vectors and index every entry.
 
-    entries: `vector`, `ids`. Returns the index and the entries with their `cell`, written to the shared folder. The
-    number of centroids of a half is the number of entries to the power 0.45, so that a cell holds ever more, if slowly.
+    entries: `vector`, `ids`. Returns the index, the entries with their `cell`, written to the shared folder, and the share
+    of them to visit for a recall of `target`. The number of centroids of a half is the number of entries to the power
+    0.45, so that a cell holds ever more, if slowly.
     """
     n = entries.count()
     sample = entries.select("vector", F.xxhash64("vector").alias("h")).orderBy("h").limit(SAMPLE).toPandas()
-    k = int(np.clip(round(n**0.45), 1, min(MOST_CENTROIDS, len(sample))))
+    size = int(np.clip(round(n**0.45), 1, min(MOST_CENTROIDS, len(sample))))
     x = _unit(sample.vector)
     half, rng = x.shape[1] // 2, np.random.default_rng(seed)
-    index = MultiIndex(_kmeans(x[:, :half], k, rng), _kmeans(x[:, half:], k, rng), np.zeros(k * k, np.int64))
+    index = MultiIndex(_kmeans(x[:, :half], size, rng), _kmeans(x[:, half:], size, rng), np.zeros(size * size, np.int64))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -115,7 +137,7 @@ def build_index(entries: DataFrame, seed: int = 11) -> tuple[MultiIndex, DataFra
     placed = written(entries.mapInPandas(assign, schema), "index")
     for row in placed.groupBy("cell").count().collect():  # at most MOST_CENTROIDS squared rows
         index.counts[row.cell] = row["count"]
-    return index, placed
+    return index, placed, needed_share(index, x, k, target)
 
 
 def nearest(
@@ -124,34 +146,41 @@ def nearest(
     key: str = "vec_id",
     vector: str = "embedding",
     k: int = 5,
-    share: float = 0.4,
-    least: int = 3000,
+    target: float = 0.95,
+    share: float | None = None,
+    least: int = 300,
     seed: int = 11,
 ) -> DataFrame:
     """The `k` nearest rows found for each row that meets `queries`: `query_id`, `rank` (from 1), `key`, `score`.
 
     score is the cosine of the original vectors in double precision; ties go to the smaller key; a row is never its own
     neighbour. Equal vectors are one entry of the index with their k + 1 smallest keys (no more can be among k
-    neighbours), so a vector that many rows share is searched, and searched for, once. A query visits cells until they hold
-    `least` entries or the share `share` of all, whichever is more; every entry visited is ranked exactly. Vectors without
-    structure need a large share (0.4 finds 9 in 10 true neighbours among random ones), clustered ones far less. Entries
-    and queries meet by blocks of cells of bounded size, however many share a cell or ask.
-
-    Rows whose vector is null, empty, zero, or has null or non-finite components take no part, nor do vectors of another
-    length than the most common one. Repeated keys count once. Fewer rows than k: all of them. Extra columns are ignored.
+    neighbours), so a vector that many rows share is searched, and searched for, once. A query visits cells, nearest first,
+    until they hold the share of all entries that a recall of `target` takes, as measured when the index is fitted (or
+    `share`, if given), `least` at least; every entry visited is ranked exactly. The share is large for vectors without
+    structure and small for clustered ones. Entries and queries meet by blocks of cells of bounded size, however many
+    share a cell or ask.
+
+    Rows whose vector is null, empty, zero, or has null or non-finite components take no part. Vectors are compared with
+    those of their own length; each length has an index of its own (lengths are few: the driver lists them). Repeated
+    keys count once. Fewer rows than k: all of them. Extra columns are ignored.
     """
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks")).where(usable(F.col("vector")) & F.col("id").isNotNull())
-    sizes = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    spark = vectors.sparkSession
     kind = vectors.schema[key].dataType.simpleString()
-    out = f"query_id {kind}, rank int, {key} {kind}, score double"
-    if sizes is None:
-        return spark.createDataFrame([], out)
-    rows = written(rows.where(F.size("vector") == sizes.d), "vectors")
+    out = vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, {key} {kind}, score double")
+    for r in rows.groupBy(F.size("vector").alias("d")).agg(F.max("asks").alias("asked")).orderBy("d").collect():
+        if r.asked:
+            out = out.unionByName(_nearest_alike(rows.where(F.size("vector") == r.d), key, kind, k, target, share, least, seed))
+    return out
+
+
+def _nearest_alike(rows: DataFrame, key: str, kind: str, k: int, target: float, share: float | None, least: int, seed: int) -> DataFrame:
+    """`nearest` among usable rows (id, vector, asks) of one length."""
+    rows = written(rows, "vectors")
     ranked = rows.select("id", "vector").distinct().withColumn("r", F.row_number().over(Window.partitionBy("vector").orderBy("id")))
     entries = ranked.where(F.col("r") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    index, placed = build_index(written(entries, "entries"), seed)
-    wanted = max(least, int(share * index.counts.sum()))
+    index, placed, needed = build_index(written(entries, "entries"), seed, k, target)
+    wanted = max(least, int(np.ceil((needed if share is None else share) * index.counts.sum())))
     # Cells in order of their number fill blocks; part of a cell's entries may go to each block that it reaches into.
     ends = np.cumsum(index.counts)
     first, last = (ends - index.counts) // BLOCK_ROWS, np.maximum(ends - 1, 0) // BLOCK_ROWS
