@@ -18,6 +18,10 @@ BATCH_BYTES = 1 << 20
 #: Bytes of an anchor's gram.
 GRAM = 64
 _POSITION = 28
+#: Starts of one text that are looked at at once: positions stay below 2 ** _POSITION, and memory is bounded.
+CHUNK_BYTES = 64 << 20
+#: Windows of a run that an anchor opens again and again, at most: bounds a context.
+RUN_WINDOWS = 1 << 16
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -189,8 +193,9 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 # ---------------------------------------------------------------- anchors
 
 
-def anchors(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each run of windows with one anchor: its first start, number of starts, and the anchor's hash.
+def anchors(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each run of windows with one anchor: its first start, number of starts, the anchor's hash, and at how many places
+    the run has it.
 
     text: texts one after the other; ends: where each ends. A window is `length` bytes of one text; its anchor is the
     leftmost of its grams with the smallest hash. Equal windows have equal anchors at equal distance, so whatever
@@ -199,7 +204,7 @@ def anchors(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     n = len(text) - length + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none
+        return none, none, none, none
     h = (text.astype(np.uint64) + np.uint64(1)) * _M1
     h ^= h >> np.uint64(29)
     size = 1
@@ -221,7 +226,15 @@ def anchors(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     new[1:] = (spot[1:] != spot[:-1]) | (own[1:] != own[:-1])
     first = np.flatnonzero(new & valid)
     stop = np.flatnonzero(np.append(new[1:] | ~valid[1:], True) & valid)
-    return first, stop - first + 1, h[spot[first]].view(np.int64)
+    told = h[spot[first]].view(np.int64)
+    if not len(first):
+        return none, none, none, none
+    # Where a gram comes again and again, as in a ruler or padding, neighbouring runs have one anchor: they are one run.
+    apart = np.ones(len(first), bool)
+    apart[1:] = (first[1:] != stop[:-1] + 1) | (told[1:] != told[:-1]) | (own[first[1:]] != own[first[:-1]]) | (first[1:] // RUN_WINDOWS != first[:-1] // RUN_WINDOWS)
+    at = np.flatnonzero(apart)
+    size = np.diff(np.append(at, len(first)))
+    return first[at], stop[at + size - 1] - first[at] + 1, told[at], size
 
 
 # ---------------------------------------------------------------- the operator
@@ -231,30 +244,34 @@ _CUT = T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructFiel
 
 def _anchors(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(ks: list, parts: list[bytes]) -> pa.RecordBatch:
+        def found(ks: list, parts: list[bytes], shift: int = 0) -> pa.RecordBatch:
             ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-            first, count, h = anchors(np.frombuffer(b"".join(parts), np.uint8), ends, length)
+            first, count, h, places = anchors(np.frombuffer(b"".join(parts), np.uint8), ends, length)
             own = np.searchsorted(ends, first, side="right")
-            lo = first - np.concatenate([[0], ends])[own]
+            lo = first - np.concatenate([[0], ends])[own] + shift
             k = np.array(ks, np.int64).reshape(-1, 3)[own]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (k[:, 0], k[:, 1], lo, count, h, k[:, 2])], ["k1", "k2", "lo", "n", "h", "m"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (k[:, 0], k[:, 1], lo, count, h, k[:, 2], places)], ["k1", "k2", "lo", "n", "h", "m", "places"])
 
         for batch in batches:
             ks, parts, held = [], [], 0
             for k1, k2, text, m in zip(*batch.columns, strict=True):
-                text = text.as_py()
+                text, k = text.as_py(), (k1.as_py(), k2.as_py(), m.as_py())
                 if len(text) < length:
                     continue
                 if held and held + len(text) > BATCH_BYTES:
                     yield found(ks, parts)
                     ks, parts, held = [], [], 0
-                ks.append((k1.as_py(), k2.as_py(), m.as_py()))
+                if len(text) > CHUNK_BYTES:  # each window lies in one chunk; a run that a chunk's end cuts is two
+                    for at in range(0, len(text) - length + 1, CHUNK_BYTES):
+                        yield found([k], [text[at : at + CHUNK_BYTES + length - 1]], at)
+                    continue
+                ks.append(k)
                 parts.append(text)
                 held += len(text)
             if parts:
                 yield found(ks, parts)
 
-    return texts.mapInArrow(run, "k1 long, k2 long, lo long, n long, h long, m long")
+    return texts.mapInArrow(run, "k1 long, k2 long, lo long, n long, h long, m long, places long")
 
 
 def _contexts(texts: DataFrame, length: int) -> DataFrame:
@@ -405,7 +422,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     rows = docs.select(F.col(key).alias("key"), body.alias("text")).select("key", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(0x5EED), "text").alias("k2"))
     texts = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("m")).select("k1", "k2", "text", "m")
     spots = _anchors(texts, length)
-    often = spots.groupBy("h").agg((F.sum("m") > 1).alias("often")).where("often").select("h")
+    often = spots.groupBy("h").agg((F.sum(F.col("m") * F.col("places")) > 1).alias("often")).where("often").select("h")
+    often = often.repartition("h")  # an exchange of its own: then a hot anchor's rows are split among tasks in the join
     cuts = spots.join(often, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "n", "h")).alias("cuts"))
     contexts = _contexts(texts.join(cuts, ["k1", "k2"]).select("k1", "k2", "text", "m", "cuts"), length)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
