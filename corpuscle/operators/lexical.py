@@ -77,15 +77,19 @@ def mattr(texts: DataFrame, window: int = 500) -> DataFrame:
     stretches of the stream, so that a frequent token is spread over many tasks; each stretch's first occurrence then meets
     the last one of the stretch before that has the token. A stretch that is longer than a window can't hide one that matters.
     """
+    stretch = max(STRETCH, window)
     rows = stream(texts).select("model_dir", "token", (F.col("i") + 1).alias("i"), "n")
-    rows = rows.withColumn("part", F.floor(F.col("i") / F.lit(max(STRETCH, window))))
-    rows = rows.withColumn("p", F.lag("i").over(Window.partitionBy("model_dir", "part", "token").orderBy("i")))
+    rows = rows.withColumn("part", F.floor(F.col("i") / F.lit(stretch)))
     w = F.least(F.lit(window), F.col("n"))
     held = lambda p: F.greatest(F.lit(0), F.least(F.col("i"), F.col("n") - w + 1) - F.greatest(p + 1, F.col("i") - w + 1, F.lit(1)) + 1)
-    inner = F.sum(F.when(F.col("p").isNotNull(), held(F.col("p"))))
-    edges = rows.groupBy("model_dir", "n", "part", "token").agg(F.coalesce(inner, F.lit(0)).alias("s"), F.min("i").alias("i"), F.max("i").alias("last"))
+    last = F.lag("i").over(Window.partitionBy("model_dir", "part", "token").orderBy("i"))
+    known = F.when(last.isNotNull(), last).when(F.col("part") == 0, F.lit(0))
+    inner = rows.withColumn("p", known).where(F.col("p").isNotNull()).groupBy("model_dir", "n").agg(F.sum(held(F.col("p"))).alias("s"))
+    # Only corpora of more than a stretch have first occurrences whose previous one may lie in an earlier stretch.
+    edges = rows.where(F.col("n") >= stretch).groupBy("model_dir", "n", "part", "token").agg(F.min("i").alias("i"), F.max("i").alias("last"))
     before = F.coalesce(F.lag("last").over(Window.partitionBy("model_dir", "token").orderBy("part")), F.lit(0))
-    total = edges.withColumn("s", F.col("s") + held(before)).groupBy("model_dir", "n").agg(F.sum("s").alias("s"))
+    outer = edges.withColumn("p", before).where("part > 0").groupBy("model_dir", "n").agg(F.sum(held(F.col("p"))).alias("s"))
+    total = inner.unionByName(outer).groupBy("model_dir", "n").agg(F.sum("s").alias("s"))
     return total.select("model_dir", F.col("n").cast("long").alias("n_tokens"), F.round(F.col("s") / (w * (F.col("n") - w + 1)), 6).alias("mattr"))
 
 

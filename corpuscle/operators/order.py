@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as X
+from ..sources.readers import written
 
 #: Texts whose sizes are added up before corpora are ordered: only one row for so many is ordered in one place.
 BUCKET = 4096
+#: Estimated bytes of a row of offsets, and of what is broadcast at most.
+OFFSET_BYTES, BROADCAST_BYTES = 96, 48 << 20
 
 
 def offsets(sizes: DataFrame, size: str = "size") -> DataFrame:
@@ -31,8 +34,10 @@ def offsets(sizes: DataFrame, size: str = "size") -> DataFrame:
 
 def stream(texts: DataFrame) -> DataFrame:
     """One row per token with its place in the corpus' stream: model_dir, topic, token, i (from 0), n (tokens of the corpus)."""
-    sizes = texts.select("model_dir", "topic", "text_ord", F.size(X.tokens(F.col("text"))).alias("size"))
-    at = offsets(sizes).select(F.col("model_dir").alias("m"), F.col("topic").alias("t"), F.col("text_ord").alias("o"), "offset", "n")
+    sizes = written(texts.select("model_dir", "topic", "text_ord", F.size(X.tokens(F.col("text"))).alias("size")), "sizes")
+    at = written(offsets(sizes).select(F.col("model_dir").alias("m"), F.col("topic").alias("t"), F.col("text_ord").alias("o"), "offset", "n"), "offsets")
+    if at.count() * OFFSET_BYTES <= BROADCAST_BYTES:
+        at = F.broadcast(at)  # texts stay where they are; beyond this size both sides are shuffled
     same = F.col("model_dir").eqNullSafe(F.col("m")) & F.col("topic").eqNullSafe(F.col("t")) & F.col("text_ord").eqNullSafe(F.col("o"))
     rows = texts.select("model_dir", "topic", "text_ord", "text").join(at, same)
     rows = rows.select("model_dir", "topic", "n", "offset", F.posexplode(X.tokens(F.col("text"))).alias("pos", "token"))

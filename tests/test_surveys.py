@@ -57,6 +57,18 @@ def test_corpora_without_tokens_are_in_all_pairs(spark):
     assert {(r.model_a, r.model_b): r.jsd for r in pairs.jsd(texts, 2).collect()} == {("a", "b"): 1, ("a", "c"): 1, ("a", "d"): 0, ("b", "c"): 1, ("b", "d"): 1, ("c", "d"): 1}
 
 
+def test_mattr_over_many_stretches(spark, monkeypatch):
+    from corpuscle.operators import lexical
+
+    monkeypatch.setattr(lexical, "STRETCH", 7)
+    rng = random.Random(3)
+    words = {m: some(rng, n, "abcdefghijk").split() for m, n in (("long", 200), ("short", 6), ("edge", 7))}
+    rows = [(m, "t", k, " ".join(w[k : k + 9])) for m, w in words.items() for k in range(0, len(w), 9)]
+    for r in lexical.mattr(spark.createDataFrame(rows, TEXTS), 5).collect():
+        w = words[r.model_dir]
+        assert r.mattr == pytest.approx(statistics.fmean(len(set(w[k : k + 5])) / 5 for k in range(len(w) - 4)), abs=1e-6)
+
+
 def brute_chunked(a, b, features=100, chunks=20):
     words = list(dict.fromkeys([*a, *b]))
     top = sorted(words, key=lambda w: -(a.count(w) + b.count(w)))[:features]
