@@ -103,14 +103,15 @@ def needed_share(index: MultiIndex, x: np.ndarray, k: int, target: float) -> flo
     """
     if len(x) < 2:
         return 1.0
-    probes = x[: min(PROBES, len(x))]
-    near = probes @ x.T
-    near[np.arange(len(probes)), np.arange(len(probes))] = -np.inf
-    true = np.argsort(-near, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
     one, two = _nearest(x[:, : index.half], index.first), _nearest(x[:, index.half :], index.second)
-    far = _squared(probes[:, : index.half], index.first)[:, one] + _squared(probes[:, index.half :], index.second)[:, two]
-    order = np.sort(far, axis=1)
-    needed = [np.searchsorted(row, d[t], side="right") / len(x) for row, d, t in zip(order, far, true, strict=True)]
+    needed = []
+    for at in range(0, min(PROBES, len(x)), 32):  # a few probes at once: the driver holds only their distances
+        probes = x[at : min(at + 32, PROBES)]
+        near = probes @ x.T
+        near[np.arange(len(probes)), at + np.arange(len(probes))] = -np.inf
+        true = np.argsort(-near, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+        far = _squared(probes[:, : index.half], index.first)[:, one] + _squared(probes[:, index.half :], index.second)[:, two]
+        needed += [np.searchsorted(np.sort(row), row[t], side="right") / len(x) for row, t in zip(far, true, strict=True)]
     return float(np.quantile(np.concatenate(needed), target))
 
 
