@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -57,11 +58,12 @@ class Counter:
 
 @lru_cache(maxsize=4)
 def counter(path: str) -> Counter:
-    """One per worker: the vocabulary is read once. The path is local, or the name of a file added to the session."""
+    """One per worker: the vocabulary is read once. Where the path isn't there, the file of that name which was added to the
+    session (SparkContext.addFile) is taken."""
     try:
         return Counter(path)
     except FileNotFoundError:
-        return Counter(SparkFiles.get(path))
+        return Counter(SparkFiles.get(os.path.basename(path)))
 
 
 class Tree:
@@ -81,6 +83,18 @@ class Tree:
         for k in range(size - 1, 0, -1):
             self.chars[k], self.tokens[k] = self.chars[2 * k] + self.chars[2 * k + 1], self.tokens[2 * k] + self.tokens[2 * k + 1]
 
+    @classmethod
+    def stored(cls, sizes: list[int], chars: list[int], tokens: list[int]) -> Tree:
+        """The tree that `flat` tells of; its sums are added up again."""
+        tree, ends = cls([]), list(accumulate(sizes, initial=0))
+        pieces = list(zip(chars, tokens, strict=True))
+        tree._plant([pieces[a:b] for a, b in zip(ends, ends[1:])] or [[]])
+        return tree
+
+    def flat(self) -> tuple[list[int], list[int], list[int]]:
+        """Pre-tokens of each leaf; code points and tokens of each pre-token."""
+        return [len(x) for x in self.leaves], [c for x in self.leaves for c, _ in x], [t for x in self.leaves for _, t in x]
+
     @property
     def total(self) -> int:
         return self.tokens[1]
@@ -169,6 +183,76 @@ def attach_edits(docs: DataFrame, edits: DataFrame, key: str = "doc_id", order:
     return docs.join(listed.select("__key", each.alias("edits")), F.col(key) == F.col("__key"), "left").drop("__key")
 
 
+COUNTS = ["n_tokens", "n_edits", "n_tokens_edited", "n_chars_edited", "n_chars_encoded"]
+STORED = ["leaf_sizes", "piece_chars", "piece_tokens"]
+
+
+def _follow(encoder: Counter, tree: Tree, now: str, edits: list | None) -> tuple[str, tuple[int, ...]]:
+    """The text after `edits`, which the tree follows, and COUNTS."""
+    before, encoded, made = tree.total, 0, 0
+    for e in edits or []:
+        if e:
+            now, scanned = tree.edit(encoder, now, e["start"] or 0, e["length"] or 0, e["text"] or "")
+            encoded, made = encoded + scanned, made + 1
+    return now, (before, made, tree.total, len(now), encoded)
+
+
+def _columns(rows: list[tuple], types: list[pa.DataType]) -> list[pa.Array]:
+    return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(types)]
+
+
+def _tree_fields() -> list[T.StructField]:
+    return [T.StructField("text", T.StringType()), *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in STORED)]
+
+
+_TREE_TYPES = [pa.string(), *[pa.list_(pa.int32())] * len(STORED)]
+
+
+def plant_trees(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The trees of documents, to be kept as a table: `key`, text, leaf_sizes, piece_chars, piece_tokens, n_tokens.
+
+    A null text is empty, and so is its tree; null keys and repeated rows each have a tree; other columns are ignored.
+    """
+    source = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
+    schema = T.StructType([source.schema.fields[0], *_tree_fields(), T.StructField("n_tokens", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = counter(vocabulary)
+        for batch in batches:
+            rows = []
+            for value in batch.column(1):
+                now = value.as_py() or ""
+                tree = Tree(encoder.pieces(now))
+                rows.append((now, *tree.flat(), tree.total))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(rows, [*_TREE_TYPES, pa.int64()])], schema.names)
+
+    return source.mapInArrow(run, schema).withColumnRenamed("__key", key)
+
+
+def edit_trees(trees: DataFrame, vocabulary: str, edits: Column, key: str = "doc_id") -> DataFrame:
+    """Trees of `plant_trees`, or of an earlier call, after a batch of edits: the same columns, n_tokens being the new count,
+    and n_edits, n_tokens_before and n_chars_encoded. Written, it is the next batch's table. Edits are as `count_tokens`
+    takes them (`attach_edits` brings a table of them). Nothing but the edits' surroundings is encoded; a tree without
+    edits comes back as it is.
+    """
+    source = trees.select(F.col(key).alias("__key"), "text", *STORED, edits.cast(T.ArrayType(EDIT)).alias("__edits"))
+    more = ["n_tokens", "n_edits", "n_tokens_before", "n_chars_encoded"]
+    schema = T.StructType([source.schema.fields[0], *_tree_fields(), *(T.StructField(n, T.LongType()) for n in more)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = counter(vocabulary)
+        for batch in batches:
+            rows = []
+            for k in range(batch.num_rows):
+                now, *held, todo = (batch.column(c)[k].as_py() for c in range(1, batch.num_columns))
+                tree = Tree.stored(*held)
+                now, (before, made, after, _, encoded) = _follow(encoder, tree, now, todo)
+                rows.append((now, *tree.flat(), after, made, before, encoded))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(rows, [*_TREE_TYPES, *[pa.int64()] * len(more)])], schema.names)
+
+    return source.mapInArrow(run, schema).withColumnRenamed("__key", key)
+
+
 def count_tokens(docs: DataFrame, vocabulary: str, edits: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Token counts before and after edits: one row per input row, `key`, `n_tokens`, `n_edits`, `n_tokens_edited`,
     `n_chars_edited` and `n_chars_encoded` (code points that the edits made the operator encode again).
@@ -176,11 +260,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, edits: Column, key: str = "do
     edits: an array of (start, length, text): `length` code points from `start` (clipped to the text) give way to
     `text`; each sees the result of the ones before. Null edits and null members change nothing, a null `text` inserts
     nothing, negative numbers count as 0. A null text is empty. Repeated rows each come back; other columns are ignored.
-    No shuffle: a document and its tree live in one row's turn.
+    No shuffle: `plant_trees` and `edit_trees` in one pass, the trees living in their rows' turns.
     """
     source = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"), edits.cast(T.ArrayType(EDIT)).alias("__edits"))
-    names = ["n_tokens", "n_edits", "n_tokens_edited", "n_chars_edited", "n_chars_encoded"]
-    schema = T.StructType([source.schema.fields[0], *(T.StructField(n, T.LongType()) for n in names)])
+    schema = T.StructType([source.schema.fields[0], *(T.StructField(n, T.LongType()) for n in COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = counter(vocabulary)
@@ -188,14 +271,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, edits: Column, key: str = "do
             rows = []
             for value, todo in zip(batch.column(1), batch.column(2), strict=True):
                 now = value.as_py() or ""
-                tree = Tree(encoder.pieces(now))
-                before, encoded, made = tree.total, 0, 0
-                for e in todo.as_py() or []:
-                    if e:
-                        now, scanned = tree.edit(encoder, now, e["start"] or 0, e["length"] or 0, e["text"] or "")
-                        encoded, made = encoded + scanned, made + 1
-                rows.append((before, made, tree.total, len(now), encoded))
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["__key", *names])
+                rows.append(_follow(encoder, Tree(encoder.pieces(now)), now, todo.as_py())[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(rows, [pa.int64()] * len(COUNTS))], ["__key", *COUNTS])
 
     return source.mapInArrow(run, schema).withColumnRenamed("__key", key)
