@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..sources.readers import written
 from .lexical import counts, ranked, tokens_of
-from .order import stream
+from .order import stream, streams
 
 
 def per_text(texts: DataFrame, words: DataFrame) -> DataFrame:
@@ -55,18 +55,19 @@ def between(z: DataFrame, places: int = 6) -> DataFrame:
     return both.select("model_a", "model_b", F.round("d", places).alias("burrows"), F.round(cosine, places).alias("cosine"))
 
 
-def chunked(texts: DataFrame, features: int = 100, chunks: int = 20, pairs: DataFrame | None = None) -> DataFrame:
+def chunked(texts: DataFrame, features: int = 100, chunks: int = 20, pairs: DataFrame | None = None, places: DataFrame | None = None) -> DataFrame:
     """Delta of each pair over consecutive chunks of both token streams, with the pair's own most frequent words.
 
     A stream of N tokens has `chunks` chunks of N / chunks tokens (rounded down, one at least); what remains is dropped.
     z-scores are over both sides' chunks (sample deviation). Words are those with the largest count in both streams
     together, ties to the first seen in model_a, then in model_b. pairs: (model_a, model_b), all by default.
+    places: where texts stand in other streams than their corpora's (see `streams`); those are compared then.
 
     A pair's words have a count of at least the larger of both sides' k-th largest, so at least half of that on one side:
     only such words are looked at, never a pair's whole vocabulary.
     """
     size = F.greatest(F.floor(F.col("n") / chunks), F.lit(1))
-    rows = stream(texts).select("model_dir", "token", "i", "n", size.alias("size"), F.floor(F.col("i") / size).alias("chunk"))
+    rows = (stream(texts) if places is None else streams(texts, places)).select("model_dir", "token", "i", "n", size.alias("size"), F.floor(F.col("i") / size).alias("chunk"))
     per_chunk = rows.groupBy("model_dir", "token", "n", "size", "chunk").agg(F.count(F.lit(1)).alias("c"), F.min("i").alias("i"))
     x = F.when(F.col("chunk") < chunks, F.col("c") / F.col("size")).otherwise(0.0)
     held = F.least(F.ceil(F.col("n") / F.col("size")), F.lit(chunks)).alias("n_chunks")

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.readers import written
 from . import delta
 from .lexical import scoped, tokens_of
+from .order import offsets
 
 
 def bootstrap_weights(texts: DataFrame, reps: int, seed: str) -> DataFrame:
@@ -176,15 +178,22 @@ def author_deltas(texts: DataFrame, author: str, splits: int = 3, most_pairs: in
     """Chunked deltas (A9) of both halves of each author of 4 texts and more (`splits` times), of pairs of authors
     (`most_pairs` of them by an md5 draw; 0: all) and of both halves of the whole pool: kind, group_a, group_b, split, burrows,
     n_docs_a, n_docs_b. In a half, texts stand in the order of the draw."""
-    rows = texts.where(~X.blank(F.col("text"))).select(F.col(author).cast("string").alias("who"), "topic", "model_dir", "text_ord", "text")
+    rows = texts.where(~X.blank(F.col("text"))).select(F.col(author).cast("string").alias("who"), "topic", "model_dir", "text_ord", F.size(X.tokens(F.col("text"))).alias("size"))
+    rows = written(rows, "author-sizes")
     name = lambda kind, who, rep, side: F.concat_ws("\u0001", F.lit(kind), who, rep.cast("string"), side.cast("string"))
-    own = halves(rows, splits, seed, ("who",), 1 << 30).select(name("within_author", F.col("who"), F.col("rep"), F.col("side")).alias("stream"), F.col("r").cast("long").alias("r"), "model_dir", "topic", "text_ord")
-    pool = halves(rows.withColumn("all", F.lit("ALL")), pool_splits, f"{seed}-pool", ("all",), 1 << 30).select(name("within_pool", F.col("all"), F.col("rep"), F.col("side")).alias("stream"), F.col("r").cast("long").alias("r"), "model_dir", "topic", "text_ord")
-    same = ["model_dir", "topic", "text_ord"]
-    drawn = own.unionByName(pool).join(rows.select(*same, "text"), same).select(F.col("stream").alias("model_dir"), F.lit("").alias("topic"), F.col("r").alias("text_ord"), "text")
-    whole = rows.select(name("cross_author", F.col("who"), F.lit(-1), F.lit(0)).alias("model_dir"), "topic", "text_ord", "text")
-    streams = drawn.unionByName(whole)
-    names = streams.groupBy("model_dir").agg(F.count(F.lit(1)).alias("n"))
+    key = ["model_dir", "topic", "text_ord"]
+    drawn = lambda split, kind, who: split.select(name(kind, who, F.col("rep"), F.col("side")).alias("stream"), F.lit("").alias("part"), F.col("r").cast("long").alias("r"), *key)
+    own = drawn(halves(rows, splits, seed, ("who",), 1 << 30), "within_author", F.col("who"))
+    pool = drawn(halves(rows.withColumn("all", F.lit("ALL")), pool_splits, f"{seed}-pool", ("all",), 1 << 30), "within_pool", F.col("all"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
+    drawn_ = own.unionByName(pool).alias("a").join(rows.alias("b"), same).select("a.*", "b.size")
+    part_ = F.concat_ws("\u0001", F.coalesce("topic", F.lit("")), "model_dir")  # an author's corpora follow each other within a topic
+    whole = rows.select(name("cross_author", F.col("who"), F.lit(-1), F.lit(0)).alias("stream"), part_.alias("part"), F.col("text_ord").alias("r"), *key, "size")
+    each = written(drawn_.unionByName(whole), "streams")
+    at = offsets(each.select(F.col("stream").alias("model_dir"), F.col("part").alias("topic"), F.col("r").alias("text_ord"), "size"))
+    at = at.select(F.col("model_dir").alias("stream"), F.col("topic").alias("part"), F.col("text_ord").alias("r"), "offset", "n")
+    places = written(each.join(at, ["stream", "part", "r"]).select("stream", *key, "offset", "n"), "places")
+    names = places.groupBy(F.col("stream").alias("model_dir")).agg(F.count(F.lit(1)).alias("n"))
     part = lambda c, k: F.split(c, "\u0001")[k]
     first = names.where(part(F.col("model_dir"), 3) == "0")
     splits_ = first.where(~F.col("model_dir").startswith("cross_author")).select(F.col("model_dir").alias("model_a"), F.regexp_replace("model_dir", "0$", "1").alias("model_b"))
@@ -192,7 +201,7 @@ def author_deltas(texts: DataFrame, author: str, splits: int = 3, most_pairs: in
     cross = who.select(F.col("model_dir").alias("model_a")).join(who.select(F.col("model_dir").alias("model_b")), F.col("model_a") < F.col("model_b"))  # authors are a roster
     if most_pairs:
         cross = cross.orderBy(X.draw(seed, part(F.col("model_a"), 1), part(F.col("model_b"), 1)), "model_a", "model_b").limit(most_pairs)
-    found = delta.chunked(streams, pairs=splits_.unionByName(cross))
+    found = delta.chunked(texts, pairs=splits_.unionByName(cross), places=places)
     sized = found.join(names.select(F.col("model_dir").alias("model_a"), F.col("n").alias("n_docs_a")), "model_a").join(names.select(F.col("model_dir").alias("model_b"), F.col("n").alias("n_docs_b")), "model_b")
     a, b = F.col("model_a"), F.col("model_b")
     return sized.select(part(a, 0).alias("kind"), part(a, 1).alias("group_a"), part(b, 1).alias("group_b"), part(a, 2).cast("int").alias("split"), F.col("burrows_chunked").alias("burrows"), "n_docs_a", "n_docs_b")
