@@ -87,13 +87,13 @@ def halves(texts: DataFrame, reps: int, seed: str, by: tuple[str, ...] = ("model
     drawn = X.draw(seed, F.col("rep"), *(F.col(b) for b in by), F.col("text_ord"))
     rep = texts.select(*keep, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).withColumn("draw", drawn)
     if most < 1 << 20:
-        rep = rep.withColumn("r", F.row_number().over(Window.partitionBy("rep", *by).orderBy("draw", "text_ord"))).where(F.col("r") <= most)
+        rep = rep.withColumn("r", F.row_number().over(Window.partitionBy("rep", *by).orderBy("draw", "text_ord", "model_dir", "topic"))).where(F.col("r") <= most)
     else:  # places by ranges of the draw, so that no task ranks a whole group
         rep = rep.withColumn("part", F.shiftright("draw", 20))
         held = rep.groupBy("rep", *by, "part").agg(F.count(F.lit(1)).alias("c"))
         upto = Window.partitionBy("rep", *by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         held = held.withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0))).drop("c")
-        inside = F.row_number().over(Window.partitionBy("rep", *by, "part").orderBy("draw", "text_ord"))
+        inside = F.row_number().over(Window.partitionBy("rep", *by, "part").orderBy("draw", "text_ord", "model_dir", "topic"))
         rep = rep.withColumn("r", inside).join(held, ["rep", *by, "part"]).withColumn("r", F.col("r") + F.col("before")).drop("part", "before")
     rep = rep.join(F.broadcast(sizes), list(by))  # a row per group
     rep = rep.withColumn("half", F.floor(F.least(F.col("n"), F.lit(most)) / 2))

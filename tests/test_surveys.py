@@ -155,6 +155,14 @@ def test_author_splits(spark):
     assert len([r for r in resample.author_deltas(texts, "author", most_pairs=2).collect() if r.kind == "cross_author"]) == 2
 
 
+def test_an_author_of_two_corpora_with_equal_orders(spark):
+    rng = random.Random(3)
+    rows = [(m, "t", k, some(rng, 30), a) for a, corpora in (("both", ("m", "n")), ("other", ("o",))) for m in corpora for k in range(3)]
+    texts = spark.createDataFrame(rows, f"{TEXTS}, author string")
+    got = sorted((r.kind, r.group_a, r.group_b, r.split, r.n_docs_a, r.n_docs_b) for r in resample.author_deltas(texts, "author", splits=1, pool_splits=1).collect())
+    assert got == [("cross_author", "both", "other", -1, 6, 3), ("within_author", "both", "both", 0, 3, 3), ("within_pool", "ALL", "ALL", 0, 4, 4)]
+
+
 def test_bootstrap_of_a_small_corpus(spark):
     rng = random.Random(9)
     rows = [("m", "t", k, some(rng, rng.randint(0, 9))) for k in range(9)]
