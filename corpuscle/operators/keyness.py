@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as X
+from ..sources.readers import written
 from .lexical import counts, tokens_of
 from .order import era
 
@@ -26,8 +27,9 @@ def log_ratio(c1: Column, c2: Column, n1: Column, n2: Column) -> Column:
 def keywords(word_counts: DataFrame, k: int, least: int = 5, extra: tuple[str, ...] = ()) -> DataFrame:
     """Top words by log ratio against the rest (W7: total less own count), among those with enough counts and G2.
 
-    word_counts: *extra, model_dir, token, c, first.
+    word_counts: *extra, model_dir, token, c, first; written once, for the sums over it and its frequent words.
     """
+    word_counts = written(word_counts, "word-counts")
     own, whole = [*extra, "model_dir"], word_counts.groupBy(*extra).agg(F.sum("c").alias("all"))
     sizes = word_counts.groupBy(*own).agg(F.sum("c").alias("n1"))
     totals = word_counts.groupBy(*extra, "token").agg((F.sum("c")).alias("both"))
@@ -102,6 +104,9 @@ def view_counts(parsed: DataFrame) -> DataFrame:
     return words.groupBy("view", "scope", "model_dir", "token").agg(F.sum("c").alias("c"), F.min("first").alias("first"))
 
 
-def by_view(parsed: DataFrame, k: int = 20, least: int = 20) -> DataFrame:
-    """Top words of each view, scope and corpus."""
-    return keywords(view_counts(parsed), k, least, ("view", "scope"))
+def by_view(parsed: DataFrame, k: int = 20, least: int = 20, only: tuple[str, str] | None = None) -> DataFrame:
+    """Top words of each view, scope and corpus; only: those of one view and scope."""
+    held = view_counts(parsed)
+    if only:
+        held = held.where((F.col("view") == only[0]) & (F.col("scope") == only[1]))
+    return keywords(held, k, least, ("view", "scope"))

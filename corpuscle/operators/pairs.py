@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..sources.readers import written
 from .lexical import counts, grams_of, ranked, tokens_of
 
 EPS = 1e-12
@@ -39,7 +40,8 @@ def jaccard(texts: DataFrame, k: int = 100) -> DataFrame:
 
 def jsd_of(table: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Jensen-Shannon divergence (base 2) of counts (model_dir, token, c); each side plus EPS, normalised; 1 if a side of
-    one of `pairs` (those of the table's corpora by default) has no counts."""
+    one of `pairs` (those of the table's corpora by default) has no counts. The counts are made once, however often a pair reads them."""
+    table = written(table, "counts")
     pairs = pairs_of(table) if pairs is None else pairs
     both = aligned(table, "c", pairs)
     sums = both.groupBy("model_a", "model_b").agg(F.count(F.lit(1)).alias("k"), F.sum("x").alias("tx"), F.sum("y").alias("ty"))

@@ -35,3 +35,47 @@ def test_round_trips_keep_every_character(spark, tmp_path, name):
 
 def test_texts_by_author_keep_every_character(spark, tmp_path):
     assert same(spark, write(spark, tmp_path, [(k, t, "de", f"src{k % 2}") for k, t in enumerate(ENDS) if t.strip()]), "texts_by_author")
+
+
+TALK = [(k, f"Word{k} runs quickly. It said, well, that it was {'very ' * k}late! Was it?", "de", f"src{k % 2}") for k in range(40)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["dl_by_length", "clause_medians", "syntax_per_text_documents"])
+def test_sentences_are_not_brought_together_again(spark, tmp_path, name):
+    path = write(spark, tmp_path, TALK)
+    assert "collect_list" not in plan(catalogue.QUERIES[name](spark, str(path)))
+    assert same(spark, path, name)
+
+
+def test_depth_is_the_same_either_way(spark):
+    from corpuscle.operators import syntax
+
+    texts = spark.createDataFrame([(m, t, k, s) for k, s, t, m in TALK], "model_dir string, topic string, text_ord long, text string")
+    want = {(r.text_ord, r.i): (r.depth, r.dl) for r in syntax.with_depth(syntax.annotate(texts)).collect()}
+    assert {(r.text_ord, r.i): (r.depth, r.dl) for r in syntax.with_depth(syntax.annotate(texts, True)).collect()} == want
+
+
+def test_tags_by_text_count_as_those_by_token(spark):
+    from corpuscle.operators import syntax
+
+    texts = spark.createDataFrame([(m, t, k, s) for k, s, t, m in [*TALK, (99, None, "de", "src0"), (98, "one", "de", "src0")]], "model_dir string, topic string, text_ord long, text string")
+    for n in (1, 2, 3):
+        assert sorted(syntax.tag_grams(syntax.tags_of(texts), n).collect()) == sorted(syntax.pos_grams(syntax.annotate(texts), n).collect())
+
+
+def test_parsed_tokens_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    from corpuscle.operators import syntax
+    from corpuscle.sources import readers
+
+    from pyspark.sql import DataFrameWriter
+
+    texts = spark.createDataFrame([(m, t, k, s) for k, s, t, m in TALK], "model_dir string, topic string, text_ord long, text string")
+    seen, plain = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda *a, **k: (seen.append(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")), plain(*a, **k)))
+    readers.write_parsed(syntax.annotate(texts), str(tmp_path / "p"))
+    assert seen == ["64"] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    assert readers.read_parsed(spark, str(tmp_path / "p")).count() == syntax.annotate(texts).count()
