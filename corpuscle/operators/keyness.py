@@ -9,7 +9,7 @@ from ..functions import fixed
 from ..functions import text as X
 from ..sources.readers import written
 from .lexical import counts, tokens_of
-from .order import era
+from .order import BROADCAST_BYTES, OFFSET_BYTES, era
 
 
 def g2(c1: Column, c2: Column, n1: Column, n2: Column) -> Column:
@@ -32,8 +32,11 @@ def keywords(word_counts: DataFrame, k: int, least: int = 5, extra: tuple[str, .
     word_counts = written(word_counts, "word-counts")
     own, whole = [*extra, "model_dir"], word_counts.groupBy(*extra).agg(F.sum("c").alias("all"))
     sizes = word_counts.groupBy(*own).agg(F.sum("c").alias("n1"))
-    totals = word_counts.groupBy(*extra, "token").agg((F.sum("c")).alias("both"))
-    table = word_counts.join(totals, [*extra, "token"]).withColumn("c2", F.col("both") - F.col("c")).join(F.broadcast(sizes), own)  # a row per corpus
+    frequent = word_counts.where(F.col("c") >= least).select(*extra, "token").distinct()
+    if frequent.count() * OFFSET_BYTES <= BROADCAST_BYTES:
+        frequent = F.broadcast(frequent)  # rare words' totals are not asked for, and stay where they are
+    totals = word_counts.join(frequent, [*extra, "token"], "left_semi").groupBy(*extra, "token").agg((F.sum("c")).alias("both"))
+    table = word_counts.where(F.col("c") >= least).join(totals, [*extra, "token"]).withColumn("c2", F.col("both") - F.col("c")).join(F.broadcast(sizes), own)  # a row per corpus
     table = table.join(F.broadcast(whole), list(extra)) if extra else table.crossJoin(F.broadcast(whole))  # one row
     table = table.where(F.col("c") >= least).withColumn("n2", F.col("all") - F.col("n1"))
     d = lambda n: F.col(n).cast("double")
@@ -57,20 +60,28 @@ def half_samples(texts: DataFrame, reps: int, seed: str) -> DataFrame:
     return rep.where("n >= 4").groupBy("model_dir", "text_ord").agg(F.bit_or(bit).alias("mask"))
 
 
+def _marked(texts: DataFrame, masks: DataFrame) -> DataFrame:
+    """The texts with their `mask`; they stay where they are while the masks fit a broadcast."""
+    masks = written(masks, "masks")
+    if masks.count() * OFFSET_BYTES <= BROADCAST_BYTES:
+        masks = F.broadcast(masks)
+    return texts.join(masks, ["model_dir", "text_ord"], "left")
+
+
 def consensus(texts: DataFrame, reps: int = 50, k: int = 20, least: int = 20, seed: str = "keyness") -> DataFrame:
     """In how many of `reps` half samples of a corpus' texts a word is among its top k against the whole of the
     other corpora, by corpora of 4 texts and more; stable: at the point estimate too, and in 0.8 of the samples.
 
-    Tokens are counted once: a text's bits tell which samples its counts go to, so nothing is copied per sample but words
-    that a sample has often enough.
+    Tokens are counted once: a text's bits tell which samples they go to, so nothing is copied per sample but words that a
+    sample has often enough. Tokens meet the bits in their text, and are summed by corpus and word before they are moved.
     """
     masks = half_samples(texts, reps, seed)
-    per_text = tokens_of(texts).groupBy("model_dir", "text_ord", "token").agg(F.count(F.lit(1)).alias("c"), F.min("pos").alias("pos"))
-    drawn = per_text.join(masks, ["model_dir", "text_ord"], "left")
+    drawn = tokens_of(_marked(texts, masks), "mask")
     word = drawn.groupBy("model_dir", "token").agg(
-        F.sum("c").alias("c"), F.min(F.struct("text_ord", "pos")).alias("first"), F.max("mask").isNotNull().alias("ample"),
-        *(F.sum(F.when(F.getbit("mask", F.lit(r)) == 1, F.col("c")).otherwise(0)).alias(f"s{r}") for r in range(reps)),
+        F.count(F.lit(1)).alias("c"), F.min(F.struct("text_ord", "pos")).alias("first"), F.max("mask").isNotNull().alias("ample"),
+        *(F.sum(F.when(F.getbit("mask", F.lit(r)) == 1, 1).otherwise(0)).alias(f"s{r}") for r in range(reps)),
     )
+    word = written(word, "half-samples")  # a row per corpus and word, for the sums over it and its frequent words
     totals = word.groupBy("token").agg(F.sum("c").alias("both"))
     sizes = word.groupBy("model_dir").agg(F.sum("c").alias("n"), *(F.sum(f"s{r}").alias(f"n{r}") for r in range(reps)))
     every = sizes.agg(F.sum("n").alias("all"))

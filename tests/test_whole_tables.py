@@ -79,3 +79,42 @@ def test_parsed_tokens_are_written_without_a_sort(spark, tmp_path, monkeypatch):
     readers.write_parsed(syntax.annotate(texts), str(tmp_path / "p"))
     assert seen == ["64"] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
     assert readers.read_parsed(spark, str(tmp_path / "p")).count() == syntax.annotate(texts).count()
+
+
+LOOPS = [(k, t, ("de", None)[k % 4 == 3], f"src{k // 2 % 2}") for k, t in enumerate(["a b c " * 30, "a b c " * 30, None, None, "", "one", "one two", "one two three", "one two three", "it's it's it's it's it's", "x " * 40, "x " * 40])]
+
+
+def test_loops_and_copies_move_no_text(spark, tmp_path):
+    path = write(spark, tmp_path, LOOPS)
+    assert same(spark, path, "repetition_loop_flags") and same(spark, path, "dedup_keep_first")
+    for name in ("repetition_loop_flags", "quality_clean"):
+        assert not {"Aggregate", "Window", "Generate"} & {line.split("[")[0].split(" ")[-1] for line in plan(catalogue.QUERIES[name](spark, str(path)).coalesce(1)).splitlines()}
+        assert "Window" not in plan(catalogue.QUERIES[name](spark, str(path)))
+
+
+def test_counts_within_a_text(spark):
+    from pyspark.sql import functions as F
+
+    from corpuscle.functions import text as X
+
+    rows = spark.createDataFrame([(["b", "a", "b"],), ([],), (["x"],), (None,)], "w array<string>")
+    got = [[tuple(x) for x in r.c] if r.c else None for r in rows.select(X.counted(F.col("w")).alias("c")).collect()]
+    assert got == [[("a", 1), ("b", 2)], None, [("x", 1)], None]
+    assert [r.g for r in rows.select(X.grams(F.col("w"), 2).alias("g")).collect()][:3] == [["b a", "a b"], [], []]
+
+
+def test_top_lists_rank_few_counts(spark, tmp_path):
+    path = write(spark, tmp_path, LOOPS)
+    for name in ("top_bigrams", "top_trigrams", "top_words"):
+        assert same(spark, path, name)
+        assert "sum(c" not in plan(catalogue.QUERIES[name](spark, str(path)))
+
+
+def test_delta_counts_in_the_text(spark, tmp_path):
+    path = write(spark, tmp_path, TALK)
+    assert same(spark, path, "burrows_cosine_global")
+    from corpuscle.operators import delta
+    from corpuscle.sources.readers import documents
+
+    texts = documents(spark, str(path))
+    assert "Aggregate" not in plan(delta.per_text(texts, spark.createDataFrame([("it",)], "token string")))
