@@ -118,3 +118,25 @@ def test_delta_counts_in_the_text(spark, tmp_path):
 
     texts = documents(spark, str(path))
     assert "Aggregate" not in plan(delta.per_text(texts, spark.createDataFrame([("it",)], "token string")))
+
+
+def test_streams_count_frequent_words_only_where_that_suffices(spark, monkeypatch):
+    import random
+
+    from corpuscle.operators import delta, resample
+
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(f"m{k % 2}", "t", k, " ".join(rng.choices(words, [1 / (j + 1) for j in range(400)], k=200))) for k in range(24)]
+    texts = spark.createDataFrame(rows, "model_dir string, topic string, text_ord long, text string").withColumn("author_id", X_who())
+    asked, suffices = [], delta._suffices
+    monkeypatch.setattr(delta, "_suffices", lambda *a: (asked.append(suffices(*a)), asked[-1])[1])
+    key = lambda head: (monkeypatch.setattr(delta, "HEAD", head), sorted(map(str, resample.author_deltas(texts, "author_id", splits=1, pool_splits=1).collect())))[1]
+    want = key(400)  # every word
+    assert key(1) == want and asked == [True, False]  # a hundred are too few to be sure: all are counted then
+
+
+def X_who():
+    from pyspark.sql import functions as F
+
+    return F.col("model_dir")
