@@ -254,3 +254,13 @@ def test_a_name_without_a_column_fails(spark, tmp_path):
     spark.createDataFrame([(1, "x y", "it", "src0")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     with pytest.raises(Exception, match="topic without a column: it"):
         catalogue.QUERIES["verbosity_matrix"](spark, str(tmp_path)).collect()
+
+
+def test_a_text_is_taken_apart_once_for_all_its_windows(spark, tmp_path):
+    from corpuscle.plans import surveys
+
+    rows = [(1, "a " * 300, "de", "src0"), (2, None, "de", "src0"), (3, "one", "de", "src0")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = surveys.strided_windows(spark, str(tmp_path))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [tuple(r) for r in got.orderBy("begin").collect()] == [(1, 0, 128, 128), (1, 64, 192, 64), (1, 128, 256, 64), (1, 192, 300, 44)]
