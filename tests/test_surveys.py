@@ -264,3 +264,18 @@ def test_a_text_is_taken_apart_once_for_all_its_windows(spark, tmp_path):
     got = surveys.strided_windows(spark, str(tmp_path))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert [tuple(r) for r in got.orderBy("begin").collect()] == [(1, 0, 128, 128), (1, 64, 192, 64), (1, 128, 256, 64), (1, 192, 300, 44)]
+
+
+def test_mattr_moves_slices_of_texts(spark, monkeypatch):
+    from corpuscle.operators import lexical
+
+    monkeypatch.setattr(lexical, "STRETCH", 16)
+    monkeypatch.setattr(lexical, "WINDOWS", 2)
+    rng = random.Random(5)
+    texts = {m: [some(rng, k, "abcdefg") for k in ks] for m, ks in (("long", (100, 1, 1, 1, 0, 33)), ("one", (1,)))}
+    for window in (1, 4, 30):
+        got = {r.model_dir: r for r in lexical.mattr(spark.createDataFrame([(m, "t", k, x) for m, xs in texts.items() for k, x in enumerate(xs)], TEXTS), window).collect()}
+        for m, xs in texts.items():
+            w = " ".join(x for x in xs if x).split()
+            size = min(window, len(w))
+            assert got[m].n_tokens == len(w) and got[m].mattr == pytest.approx(statistics.fmean(len(set(w[k : k + size])) / size for k in range(len(w) - size + 1)), abs=1e-6)
