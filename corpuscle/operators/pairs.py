@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..sources.readers import written
-from .lexical import counts, grams_of, ranked, tokens_of
+from .lexical import counts, heads, place_of, ranked, tokens_of
 
 EPS = 1e-12
 
@@ -31,7 +31,7 @@ def aligned(table: DataFrame, value: str, pairs: DataFrame | None = None) -> Dat
 
 def jaccard(texts: DataFrame, k: int = 100) -> DataFrame:
     """Overlap of the k most frequent words; 1 if neither side has any, 0 if one has none."""
-    words = ranked(counts(tokens_of(texts), "model_dir"), k, "model_dir").select("model_dir", "token", F.lit(1).cast("long").alias("one"))
+    words = ranked(counts(tokens_of(texts), "model_dir", place=place_of(texts)[0]), k, "model_dir").select("model_dir", "token", F.lit(1).cast("long").alias("one"))
     pairs = pairs_of(texts)
     both = aligned(words, "one", pairs).groupBy("model_a", "model_b").agg(F.sum(F.col("x") * F.col("y")).alias("i"), F.count(F.lit(1)).alias("u"))
     every = pairs.join(both, ["model_a", "model_b"], "left")
@@ -55,7 +55,7 @@ def jsd_of(table: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
 
 def jsd(texts: DataFrame, n: int, k: int = 500) -> DataFrame:
     """JSD of the k most frequent n-grams."""
-    return jsd_of(ranked(counts(grams_of(texts, n), "model_dir"), k, "model_dir").select("model_dir", "token", "c"), pairs_of(texts))
+    return jsd_of(heads(texts, n, k).select("model_dir", "token", "c"), pairs_of(texts))
 
 
 def cohens_d(stats: DataFrame) -> DataFrame:

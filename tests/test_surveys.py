@@ -266,6 +266,46 @@ def test_a_text_is_taken_apart_once_for_all_its_windows(spark, tmp_path):
     assert [tuple(r) for r in got.orderBy("begin").collect()] == [(1, 0, 128, 128), (1, 64, 192, 64), (1, 128, 256, 64), (1, 192, 300, 44)]
 
 
+@pytest.mark.parametrize("buckets", [4, 1 << 16])
+def test_heads_of_many_texts_are_those_of_all_ngrams(spark, monkeypatch, buckets):
+    from corpuscle.operators import lexical
+
+    rng = random.Random(11)
+    words = [f"w{min(int(rng.expovariate(0.15)), 40)}" for _ in range(4000)]
+    rows = [(f"m{k % 3}" if k % 7 else None, "t", k - 50, " ".join(words[10 * k : 10 * k + 10])) for k in range(400)] + [("tiny", "t", 1000, "a b c"), ("flat", "t", 1001, " ".join(f"x{j}" for j in range(90)))]
+    texts = spark.createDataFrame(rows, TEXTS)
+    got = lambda: sorted((r.model_dir or "", r["rank"], r.token, r.c) for r in lexical.heads(texts, 2, 20).collect())
+    want = sorted((r.model_dir or "", r["rank"], r.token, r.c) for r in lexical.ranked(lexical.counts(lexical.grams_of(texts, 2), "model_dir"), 20, "model_dir").collect())
+    assert got() == want
+    monkeypatch.setattr(lexical, "FEW", 0)
+    monkeypatch.setattr(lexical, "BUCKETS", max(buckets, 64))
+    assert got() == want
+
+
+def test_ngrams_too_rare_to_matter_are_not_moved(spark, monkeypatch):
+    from corpuscle.operators import lexical
+
+    monkeypatch.setattr(lexical, "FEW", 0)
+    texts = spark.createDataFrame([("m", "t", k, f"often here u{k} v{k} x{k} y{k}") for k in range(3000)], TEXTS)
+    seen = []
+    monkeypatch.setattr(lexical, "counts", lambda tokens, *by, place=None, f=lexical.counts: seen.append(tokens.count()) or f(tokens, *by, place=place))
+    monkeypatch.setattr(lexical, "SLACK", 32)
+    texts = texts.unionByName(spark.createDataFrame([("m", "t", 5000 + k, " ".join(f"p{j} q{j}." for j in range(300))) for k in range(9)], TEXTS))
+    assert lexical.heads(texts, 2, 9).orderBy("rank").first().c == 3000
+    assert len(seen) == 1 and seen[0] < 10_000  # of 15,000 and 5,391
+
+
+def test_a_bound_that_was_too_high_is_noticed(spark, monkeypatch):
+    from corpuscle.operators import lexical
+
+    texts = spark.createDataFrame([("m", "t", k, " ".join(f"w{j}" for j in range(300 - 10 * k))) for k in range(20)], TEXTS)
+    want = sorted((r["rank"], r.token, r.c) for r in lexical.heads(texts, 1, 60).collect())
+    monkeypatch.setattr(lexical, "FEW", 0)
+    monkeypatch.setattr(lexical, "ONE_OF", 2)
+    monkeypatch.setattr(lexical, "SLACK", 0.01)  # the bound is the count of one of the first
+    assert sorted((r["rank"], r.token, r.c) for r in lexical.heads(texts, 1, 60).collect()) == want
+
+
 def test_mattr_moves_slices_of_texts(spark, monkeypatch):
     from corpuscle.operators import lexical
 
