@@ -319,3 +319,21 @@ def test_mattr_moves_slices_of_texts(spark, monkeypatch):
             w = " ".join(x for x in xs if x).split()
             size = min(window, len(w))
             assert got[m].n_tokens == len(w) and got[m].mattr == pytest.approx(statistics.fmean(len(set(w[k : k + size])) / size for k in range(len(w) - size + 1)), abs=1e-6)
+
+
+def test_draws_are_made_where_the_sizes_are(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(f"m{k % 2}", "t", 3 * k, some(rng, rng.randint(0, 9))) for k in range(23)] + [(None, "t", 100, "x y")]
+    texts = spark.createDataFrame(rows, TEXTS)
+    sizes = spark.createDataFrame([(m, k, len(x.split())) for m, _, k, x in rows], "model_dir string, text_ord long, size long")
+    bits, drawn = resample.drawn_words(sizes, 70, "s")
+    want = resample.bootstrap_weights(texts.where("model_dir IS NOT NULL"), 70, "s").collect()
+    assert {(r.model_dir, r.text_ord, 64 * r.word + k) for r in bits.collect() for k in range(64) if r.bits >> k & 1} == {(r.model_dir, r.text_ord, r.rep) for r in want}
+    length, n = {(m, k): len(x.split()) for m, _, k, x in rows}, {}
+    for r in want:
+        n[r.model_dir, r.rep] = n.get((r.model_dir, r.rep), 0) + r.w * length[r.model_dir, r.text_ord]
+    assert {(r.model_dir, r.rep): r.n for r in drawn.collect()} == n
+    got = resample.bootstrap_ttr(texts, 70, "s").orderBy("model_dir").collect()
+    assert got == resample.bootstrap_ttr(texts, 70, "s", resample.bootstrap_weights(texts, 70, "s")).orderBy("model_dir").collect()
+    monkeypatch.setattr(resample, "BROADCAST_BYTES", 0)
+    assert got == resample.bootstrap_ttr(texts, 70, "s").orderBy("model_dir").collect()
