@@ -50,11 +50,10 @@ def test_consensus_of_fifty_half_samples(spark, tmp_path):
     assert all(round(50 * rate, 6) == int(round(50 * rate)) for rate in got.values())
 
 
-def test_distances_leave_no_table_of_words(spark, small, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        catalogue.QUERIES["distance_long"](spark, small)
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_distances_leave_no_table_of_words(spark, small, tmp_path, monkeypatch):
+    from corpuscle.sources import readers
+
+    monkeypatch.setattr(readers, "LOCAL_DEFAULT", str(tmp_path))
+    catalogue.QUERIES["distance_long"](spark, small)
     left = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "corpuscle").iterdir()}
     assert "distances" in left and not {"words", "words-by-topic", "bounds"} & left
